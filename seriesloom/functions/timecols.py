@@ -23,7 +23,7 @@ def day_number(when: Column) -> Column:
 
 def micros_of_day(when: Column) -> Column:
     stamp = when.cast("timestamp_ntz")
-    whole = F.hour(stamp) * F.lit(3_600_000_000) + F.minute(stamp) * F.lit(60_000_000)
+    whole = F.hour(stamp).cast("bigint") * 3_600_000_000 + F.minute(stamp).cast("bigint") * 60_000_000
     return whole + (F.date_part(F.lit("SECOND"), stamp) * 1_000_000).cast("bigint")
 
 
