@@ -43,14 +43,21 @@ def enough_points(series: DataFrame, min_points: int = rules.MIN_SERIES_POINTS)
     )
 
 
-def _with_facts(series: DataFrame, facts: DataFrame, bounded: bool) -> DataFrame:
-    """Per-series facts on every row. A bounded series keeps its own partitioning."""
-    return series.join(facts, list(KEY)) if bounded else join_facts(series, facts, KEY, ["ds"])
+def with_facts(series: DataFrame, facts: DataFrame, bounded: bool = True) -> DataFrame:
+    """Per-series facts on every row of the series.
+
+    For bounded series this is a shuffled hash join: the series moves once, by key,
+    and the windows that follow reuse that layout. A broadcast of the small side
+    could leave the windows on whatever few partitions the other side had.
+    """
+    if bounded:
+        return series.join(facts.hint("shuffle_hash"), list(KEY))
+    return join_facts(series, facts, KEY, ["ds"])
 
 
 def gate_min_points(series: DataFrame, min_points: int = rules.MIN_SERIES_POINTS, bounded: bool = True) -> DataFrame:
     ready = enough_points(series, min_points).where("status = 'ready'").select(*KEY)
-    return _with_facts(series, ready, bounded)
+    return with_facts(series, ready, bounded)
 
 
 def on_daily_grid(series: DataFrame) -> DataFrame:
@@ -72,16 +79,22 @@ def on_daily_grid(series: DataFrame) -> DataFrame:
     )
 
 
-def daily_grid(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def daily_grid(series: DataFrame, key: Sequence[str] = KEY, carry_recent: bool = False) -> DataFrame:
     """Add the missing days between a series' first and last date with null y.
 
     Each row is stretched up to the day before its successor, so the gap filling
     needs no join and keeps the series partitioning for the windows that follow.
+    ``carry_recent`` adds the readings of the last 90 days as an array, built on
+    observed rows only; ``fill_candidates`` reads it where it must.
     """
     w = Window.partitionBy(*key).orderBy("ds")
     upto = F.coalesce(F.date_sub(F.lead("ds").over(w), 1), F.col("ds"))
     stretched = series.withColumn("_days", F.sequence(F.col("ds"), upto, F.expr("interval 1 day")))
-    rest = [c for c in series.columns if c not in (*key, "ds", "y")]
+    if carry_recent:
+        by_day = Window.partitionBy(*key).orderBy(F.unix_date("ds")).rangeBetween(-90, 0)
+        reading = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
+        stretched = stretched.withColumn("_recent", F.collect_list(reading).over(by_day))
+    rest = [c for c in stretched.columns if c not in (*key, "ds", "y", "_days")]
     return stretched.select(
         *key, *rest, F.col("ds").alias("_seen"), F.explode("_days").alias("ds"), F.col("y").alias("_y")
     ).select(
@@ -176,31 +189,37 @@ def _middle(values: Column) -> Column:
 
 
 def fill_candidates(grid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """For every day of a complete daily grid, what each fill rule would put there.
+    """For every missing day of a complete daily grid (made with ``carry_recent``),
+    what each fill rule would put there.
 
     Adds ``fill_median``, ``fill_ffill``, ``fill_recent`` and ``fill_yearly``. On a
-    complete grid a day offset is a row offset: the same weekday in the last 90
-    days is 12 lags, a year ago is 15, so no window recomputes a sliding median.
+    complete grid a day offset is a row offset: the same weekday in the last 90 days
+    is 12 lags and a year ago is 15, so nothing recomputes a sliding median.
     """
     days = Window.partitionBy(*key).orderBy("ds")
     whole = Window.partitionBy(*key)
     y = F.col("y")
-    same_weekday = F.array_compact(F.array(*[F.lag(y, k).over(days) for k in range(7, 91, 7)]))
-    last_90 = F.collect_list(y).over(days.rowsBetween(-90, -1))
-    year_ago = F.array_compact(F.array(*[F.lag(y, k).over(days) for k in range(358, 373)]))
-    opening = F.collect_list(F.when(F.col("_pos") <= 30, y)).over(whole)
+    columns = [c for c in grid.columns if c != "_recent"]
+    same_weekday, year_ago = range(7, 91, 7), range(358, 373)
     staged = grid.withColumn("_pos", F.row_number().over(days)).select(
-        *[c for c in grid.columns], "_pos",
-        F.percentile(y, F.lit(0.5)).over(whole).alias("fill_median"),
+        *columns, "_recent", "_pos",
+        *[F.lag(y, k).over(days).alias(f"_l{k}") for k in (*same_weekday, *year_ago)],
         F.last(y, ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, 0)).alias("_carried"),
-        same_weekday.alias("_dow"), year_ago.alias("_year"), last_90.alias("_near"),
-        opening.alias("_opening"),
+        F.percentile(y, F.lit(0.5)).over(whole).alias("fill_median"),
+        F.percentile(F.when(F.col("_pos") <= 30, y), F.lit(0.5)).over(whole).alias("_opening"),
     ).withColumn("_carried_median", F.percentile("_carried", F.lit(0.5)).over(whole))
-    recent = F.coalesce(_middle(F.col("_dow")), _middle(F.col("_near")), _middle(F.col("_opening")), F.lit(0.0))
-    yearly = F.when(F.col("_pos") > 372, _middle(F.col("_year")))
-    missing = F.col("y").isNull()
+
+    def middle_of(lags: range) -> Column:
+        return _middle(F.array_compact(F.array(*[F.col(f"_l{k}") for k in lags])))
+    day = F.col("ds")
+    near = F.transform(
+        F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day)), lambda r: r["y"]
+    )
+    recent = F.coalesce(middle_of(same_weekday), _middle(near), F.col("_opening"), F.lit(0.0))
+    yearly = F.when(F.col("_pos") > 372, middle_of(year_ago))
+    missing = y.isNull()
     return staged.select(
-        *grid.columns,
+        *columns,
         F.when(missing, F.coalesce("fill_median", F.lit(0.0))).alias("fill_median"),
         F.when(missing, F.coalesce("_carried", "_carried_median", F.lit(0.0))).alias("fill_ffill"),
         F.when(missing, recent).alias("fill_recent"),
@@ -209,8 +228,8 @@ def fill_candidates(grid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def impute(grid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Fill missing days of a complete grid that carries weekend_treatment and
-    weekday_treatment. Every window reads observed values only."""
+    """Fill missing days of a complete grid (made with ``carry_recent``) that has
+    weekend_treatment and weekday_treatment. Every rule reads observed values only."""
     filled = fill_candidates(grid, key)
     weekend = F.weekday("ds") >= 5
     strategy = F.when(weekend, F.col("weekend_treatment")).otherwise(F.col("weekday_treatment"))
@@ -314,7 +333,7 @@ def split_cutoff(series: DataFrame, test_window: int) -> DataFrame:
 def split_parts(series: DataFrame, cutoff: DataFrame, bounded: bool = True) -> DataFrame:
     """Tag rows with part 'train' or 'test'."""
     starts = cutoff.where("status = 'ready'").select(*KEY, "test_start")
-    return _with_facts(series, starts, bounded).withColumn(
+    return with_facts(series, starts, bounded).withColumn(
         "part", F.when(F.col("ds") < F.col("test_start"), "train").otherwise("test")
     ).drop("test_start")
 
@@ -322,11 +341,11 @@ def split_parts(series: DataFrame, cutoff: DataFrame, bounded: bool = True) -> D
 def clean_views(series: DataFrame, treatment: DataFrame, cutoff: DataFrame, allow_negative: bool = False) -> DataFrame:
     """(series_id, part, ds, y): train, test and full, each gridded and cleaned on
     its own with the same treatment. The test view never sees training values."""
-    tagged = split_parts(series, cutoff)
-    parts = tagged.withColumn("part", F.explode(F.array(F.col("part"), F.lit("full"))))
+    facts = treatment.join(cutoff.where("status = 'ready'").select(*KEY, "test_start"), list(KEY))
+    own = F.when(F.col("ds") < F.col("test_start"), "train").otherwise("test")
+    parts = with_facts(series, facts).withColumn("part", F.explode(F.array(own, F.lit("full")))).drop("test_start")
     key = ("series_id", "part")
-    configured = parts.join(treatment, list(KEY))
-    return clean(daily_grid(configured, key), key, allow_negative).select(*key, "ds", "y", "was_observed")
+    return clean(daily_grid(parts, key, carry_recent=True), key, allow_negative).select(*key, "ds", "y", "was_observed")
 
 
 def gap_facts(series: DataFrame, bounded: bool = True) -> DataFrame:
@@ -351,21 +370,25 @@ def gap_facts(series: DataFrame, bounded: bool = True) -> DataFrame:
     return facts.join(middle, list(KEY))
 
 
-def frequency(gaps: DataFrame) -> DataFrame:
-    """Series frequency: a regular spacing is taken as is, else the median gap decides."""
-    regular = (F.col("n_gaps") >= 2) & (F.col("min_gap") == F.col("max_gap"))
+def frequency_of() -> Column:
+    """Frequency from gap facts: a regular spacing is taken as is, else the median
+    gap decides."""
+    several = F.col("n_gaps") >= 2
+    regular = several & (F.col("min_gap") == F.col("max_gap"))
     hour = 1.0 / 24
     g = F.col("median_gap")
-    return gaps.select(
-        *KEY, "median_gap",
-        F.when((F.col("n_gaps") >= 2) & F.col("month_starts") & (F.col("min_gap") >= 28) & (F.col("max_gap") <= 31), "MS")
-        .when(regular & (F.col("min_gap") == 1), "D")
-        .when(regular & (F.col("min_gap") == 7), "W")
+    return (
+        F.when(several & F.col("month_starts") & (F.col("min_gap") >= 28) & (F.col("max_gap") <= 31), "MS")
+        .when(regular & (F.col("min_gap") == 1), "D").when(regular & (F.col("min_gap") == 7), "W")
         .when(g <= hour, "h").when(g <= 4 * hour, "4h").when(g <= 1, "D")
-        .when(g <= 7, "W").when(g <= 31, "MS").otherwise("D").alias("freq"),
+        .when(g <= 7, "W").when(g <= 31, "MS").otherwise("D")
     )
 
 
+def frequency(gaps: DataFrame) -> DataFrame:
+    return gaps.select(*KEY, "median_gap", frequency_of().alias("freq"))
+
+
 # Observations per season for each frequency; 7 when not listed.
 SEASONAL_PERIODS = {"D": 7, "B": 5, "W": 52, "MS": 12, "QS": 4, "AS": 1, "H": 24, "T": 60}
 

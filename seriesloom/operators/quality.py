@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.functions import rules
-from seriesloom.functions.spread import exact_percentiles, join_facts
-from seriesloom.operators.prepare import KEY, frequency, gap_facts, keep_last, on_daily_grid
-from seriesloom.operators.typing import drop_undated, type_readings, typing_counts
+from seriesloom.functions.spread import exact_percentiles, join_facts, previous_reading
+from seriesloom.functions.timecols import micros, micros_of_day
+from seriesloom.operators.prepare import KEY, frequency_of
+from seriesloom.operators.typing import type_readings
+from seriesloom.session import materialize
 
 BLOCKING, WARNING = "blocking", "warning"
 
@@ -26,67 +28,123 @@ def _issue(when: Column, code: str, message: Column, severity: str = WARNING) ->
     ))
 
 
-def series_profile(readings: DataFrame, horizon: int, test_window: int) -> DataFrame:
-    """One profile row per series from raw text readings (series_id, row_no, ds_raw, y_raw).
+DENSE_POINTS = 1_000_000
 
-    Works on readings of any density: counts combine before the shuffle, copies are
-    merged, and ranks are found without sorting a whole series in one task.
-    """
-    typed = type_readings(readings)
-    counts = typing_counts(typed)
-    series = keep_last(drop_undated(typed))
-    shape = series.groupBy(*KEY).agg(
+
+def _gap() -> Column:
+    return (micros(F.col("ds")) - micros(F.col("prev_ds"))) / F.lit(86_400_000_000.0)
+
+
+def _upper(q1: Column, q3: Column) -> Column:
+    return F.when(q3 > q1, q3 + F.lit(rules.IQR_MULTIPLIER) * (q3 - q1))
+
+
+def _shape() -> list[Column]:
+    return [
         F.count("*").alias("n"), F.count("y").alias("usable_points"),
-        F.sum("duplicates").alias("duplicate_timestamps"),
         F.min("ds").alias("start"), F.max("ds").alias("end"),
-        F.count_if(F.col("y") < 0).alias("negative_values"),
-        F.count_if(F.col("y") == 0).alias("zero_values"),
+        F.count_if(F.col("y") < 0).alias("negative_values"), F.count_if(F.col("y") == 0).alias("zero_values"),
         rules.adjusted_skew(F.col("y")).alias("skew"),
-    ).withColumn("span_days", F.floor(
-        (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp")))
-        / 86_400_000_000).cast("int"))
-    grid = on_daily_grid(series).groupBy(*KEY).agg(
-        F.count("y").alias("kept_on_grid"),
-        (F.datediff(F.max("ds"), F.min("ds")) + 1).alias("grid_days"),
-    )
-    quarters = exact_percentiles(series, KEY, "y", {"q1": 0.25, "q3": 0.75}).withColumn(
-        "upper", F.when(F.col("q3") > F.col("q1"),
-                        F.col("q3") + F.lit(rules.IQR_MULTIPLIER) * (F.col("q3") - F.col("q1")))
+    ]
+
+
+def _gap_shape() -> list[Column]:
+    month_start = (F.dayofmonth("ds") == 1) & (F.dayofmonth("prev_ds") == 1)
+    return [
+        F.count("prev_ds").alias("n_gaps"), F.min(_gap()).alias("min_gap"), F.max(_gap()).alias("max_gap"),
+        F.min(F.when(F.col("prev_ds").isNotNull(), month_start)).alias("month_starts"),
+    ]
+
+
+def _measure_ordinary(series: DataFrame, test_window: int) -> DataFrame:
+    """Everything about series of at most DENSE_POINTS timestamps from one shuffle."""
+    whole, ordered = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("ds")
+    quarters = F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).over(whole)
+    rows = series.select(
+        *KEY, "ds", "y", F.lag("ds").over(ordered).alias("prev_ds"), F.row_number().over(ordered).alias("_no"),
+        F.count("*").over(whole).alias("_n"), F.min("ds").over(whole).alias("_start"), quarters.alias("_q"),
+    ).withColumn("upper", _upper(F.col("_q")[0], F.col("_q")[1]))
+    in_test = F.col("_no") > F.col("_n") - rules.holdout_size(F.col("_n"), test_window)
+    on_grid = micros_of_day(F.col("ds")) == micros_of_day(F.col("_start"))
+    return rows.groupBy(*KEY).agg(
+        *_shape(), *_gap_shape(), F.percentile(_gap(), F.lit(0.5)).alias("median_gap"), F.max("upper").alias("upper"),
+        F.count_if(F.col("y") > F.col("upper")).alias("outliers"), F.count(F.when(on_grid, F.col("y"))).alias("kept_on_grid"),
+        F.count_if(in_test & (F.col("y") != 0)).alias("scoreable"),
     )
-    outliers = join_facts(series, quarters.select(*KEY, "upper"), KEY, ["ds"]).groupBy(*KEY).agg(
-        F.count_if(F.col("y") > F.col("upper")).alias("outliers")
+
+
+def _measure_dense(series: DataFrame, test_window: int) -> DataFrame:
+    """The same measures for denser series, without sorting a series in one task."""
+    key = list(KEY)
+    shape = series.groupBy(*key).agg(*_shape())
+    stepped = previous_reading(series, key, "ds", ["ds"]).where(F.col("prev_ds").isNotNull())
+    gaps = stepped.groupBy(*key).agg(*_gap_shape())
+    middle = exact_percentiles(stepped.withColumn("_gap", _gap()), key, "_gap", {"median_gap": 0.5})
+    quarters = exact_percentiles(series, key, "y", {"q1": 0.25, "q3": 0.75}).select(
+        *key, _upper(F.col("q1"), F.col("q3")).alias("upper"))
+    facts = shape.select(*key, "n", "start").join(quarters, key, "left")
+    on_grid = micros_of_day(F.col("ds")) == micros_of_day(F.col("start"))
+    counted = join_facts(series, facts, key, ["ds"]).groupBy(*key).agg(
+        F.max("upper").alias("upper"), F.count_if(F.col("y") > F.col("upper")).alias("outliers"),
+        F.count(F.when(on_grid, F.col("y"))).alias("kept_on_grid"),
     )
+    # the newest rows by a bounded rank, which Spark applies before the shuffle
     most = max(rules.MIN_HOLDOUT, int(test_window))
     newest = series.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ds")))
-    ).where(F.col("_rank") <= F.lit(most)).join(shape.select(*KEY, "n"), list(KEY))
-    scoreable = newest.where(F.col("_rank") <= rules.holdout_size(F.col("n"), test_window)).groupBy(*KEY).agg(
-        F.count_if(F.col("y") != 0).alias("scoreable")
-    )
-    pace = frequency(gap_facts(series, bounded=False))
+        "_rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ds")))
+    ).where(F.col("_rank") <= F.lit(most)).join(shape.select(*key, "n"), key)
+    scoreable = newest.where(F.col("_rank") <= rules.holdout_size(F.col("n"), test_window)).groupBy(*key).agg(
+        F.count_if(F.col("y") != 0).alias("scoreable"))
+    return shape.join(gaps, key, "left").join(middle, key, "left").join(counted, key).join(scoreable, key)
+
+
+def series_profile(readings: DataFrame, horizon: int, test_window: int, dense_points: int = DENSE_POINTS) -> DataFrame:
+    """One profile row per series from raw text readings (series_id, row_no, ds_raw, y_raw).
+
+    Copies of a timestamp are merged before the shuffle, whose result is written once
+    to the checkpoint folder. Series are then measured by windows, except those with
+    more than ``dense_points`` timestamps, which take a path no single task dominates.
+    """
     key = list(KEY)
-    joined = (
-        counts.join(shape, key, "left").join(grid, key, "left").join(quarters, key, "left")
-        .join(outliers, key, "left").join(scoreable, key, "left").join(pace, key, "left")
+    typed = type_readings(readings)
+    bad_value = F.col("ds").isNotNull() & F.col("y_raw").isNotNull() & F.col("y").isNull()
+    base = materialize(typed.groupBy(*key, "ds").agg(
+        F.max_by(F.struct("y"), F.struct("row_no", "y")).alias("_l"), F.count("*").alias("_copies"),
+        F.count_if(bad_value).alias("_bad"),
+    ).select(*key, "ds", F.col("_l.y").alias("y"), "_copies", "_bad"))
+    dated = F.col("ds").isNotNull()
+    counts = base.groupBy(*key).agg(
+        F.sum("_copies").alias("rows_total"), F.sum("_bad").alias("non_numeric_values"),
+        F.coalesce(F.sum(F.when(~dated, F.col("_copies"))), F.lit(0)).alias("unparseable_dates"),
+        F.coalesce(F.sum(F.when(dated, F.col("_copies") - 1)), F.lit(0)).alias("duplicate_timestamps"),
+        F.count("ds").alias("_timestamps"),
     )
+    series = base.where(dated).select(*key, "ds", "y")
+    dense = counts.where(F.col("_timestamps") > dense_points).select(*key)
+    if dense.isEmpty():
+        measured = _measure_ordinary(series, test_window)
+    else:
+        measured = _measure_ordinary(series.join(dense, key, "left_anti"), test_window).unionByName(
+            _measure_dense(join_facts(series, dense, key, ["ds"]), test_window), allowMissingColumns=True)
+    joined = counts.drop("_timestamps").join(measured, key, "left")
+    span = F.floor((micros(F.col("end")) - micros(F.col("start"))) / 86_400_000_000).cast("int")
     ready = F.coalesce(F.col("usable_points"), F.lit(0)) >= rules.MIN_SERIES_POINTS
 
     def if_ready(col: Column) -> Column:
         return F.when(ready, col)
 
-    def count_or_zero(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
+    def count_or_zero(name: str, col: Column | None = None) -> Column:
+        return F.coalesce(F.col(name) if col is None else col, F.lit(0)).cast("bigint").alias(name)
 
-    return joined.select(
+    return joined.withColumn("span_days", span).select(
         *KEY, "rows_total", count_or_zero("usable_points"), "start", "end", "span_days",
-        if_ready(F.col("freq")).alias("inferred_frequency"),
-        if_ready(F.col("median_gap")).alias("median_gap"),
-        if_ready(1 - F.col("kept_on_grid") / F.col("grid_days")).alias("imputed_share"),
+        if_ready(frequency_of()).alias("inferred_frequency"), if_ready(F.col("median_gap")).alias("median_gap"),
+        if_ready(1 - F.col("kept_on_grid") / (F.col("span_days") + 1)).alias("imputed_share"),
         if_ready(F.col("kept_on_grid")).alias("kept_on_grid"),
-        count_or_zero("duplicate_timestamps"), "unparseable_dates", "non_numeric_values",
-        F.coalesce(if_ready(F.col("negative_values")), F.lit(0)).cast("bigint").alias("negative_values"),
+        "duplicate_timestamps", "unparseable_dates", "non_numeric_values",
+        count_or_zero("negative_values", if_ready(F.col("negative_values"))),
         F.coalesce(if_ready(F.round(F.col("zero_values") / F.col("usable_points"), 4)), F.lit(0.0)).alias("zero_pct"),
-        F.coalesce(if_ready(F.col("outliers")), F.lit(0)).cast("bigint").alias("outliers"),
+        count_or_zero("outliers", if_ready(F.col("outliers"))),
         if_ready(F.col("upper")).alias("upper"), if_ready(F.col("skew")).alias("skew"),
         if_ready(F.col("scoreable")).alias("scoreable"),
         F.coalesce(if_ready(rules.holdout_size(F.col("n"), test_window)), F.lit(0)).alias("test_split_size"),

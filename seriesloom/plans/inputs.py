@@ -63,6 +63,10 @@ INPUTS: dict[str, str] = {
                CAST(CAST(COUNT(*) AS DOUBLE) AS STRING)
         FROM {orders} GROUP BY o_orderpriority, CAST(date_trunc('week', o_orderdate) AS DATE)
         UNION ALL
+        SELECT concat('daily/', o_orderpriority), MIN(o_orderkey), CAST(CAST(o_orderdate AS DATE) AS STRING),
+               CASE WHEN CAST(o_orderdate AS DATE) > DATE '2001-06-01' THEN '0' ELSE CAST(CAST(COUNT(*) AS DOUBLE) AS STRING) END
+        FROM {orders} GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)
+        UNION ALL
         SELECT concat('customer/C', CAST(o_custkey AS STRING)), o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING),
                CAST(o_totalprice AS STRING)
         FROM {orders}""",

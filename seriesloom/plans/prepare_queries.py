@@ -279,7 +279,8 @@ def _with_rule(grid: DataFrame, weekday: str, weekend: str, outlier: str = "none
 
 
 def _imputed(spark: SparkSession, sf: str, weekday: str, weekend: str) -> DataFrame:
-    return P.impute(_with_rule(supplier_grid(spark, sf), weekday, weekend)).select(
+    grid = P.daily_grid(load(spark, sf, "supplier_daily"), carry_recent=True)
+    return P.impute(_with_rule(grid, weekday, weekend)).select(
         "series_id", "ds", F.round("y", 4).alias("y"))
 
 

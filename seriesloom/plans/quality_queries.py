@@ -9,7 +9,7 @@ from seriesloom.plans.inputs import ctes, load
 from seriesloom.plans.prepare_queries import (
     BOUNDS, GRID, SKEW, VIEW_CTES, FREQ, GAPS, TREATED_SQL, treated, views,
 )
-from seriesloom.plans.registry import query
+from seriesloom.plans.registry import ORACLES, query
 
 HORIZON, TEST_WINDOW = 365, 30
 
@@ -50,13 +50,23 @@ SELECT series_id, rows_total, CAST(usable AS BIGINT) AS usable_points, strftime(
   CAST(duplicates AS BIGINT) AS duplicate_timestamps, CAST(unparseable_dates AS BIGINT) AS unparseable_dates, CAST(non_numeric_values AS BIGINT) AS non_numeric_values,
   CAST(negatives AS BIGINT) AS negative_values, round(zero_share, 4) AS zero_pct, CAST(outliers AS BIGINT) AS outliers, split AS test_split_size, horizon AS effective_horizon FROM profile""")
 def d01(spark: SparkSession, sf: str) -> DataFrame:
+    return _profile_rows(_profile(spark, sf))
+
+
+def _profile_rows(profile: DataFrame) -> DataFrame:
     stamp = "yyyy-MM-dd HH:mm:ss"
-    return _profile(spark, sf).select(
+    return profile.select(
         "series_id", "rows_total", "usable_points", F.date_format("start", stamp).alias("start"), F.date_format("end", stamp).alias("end"),
         "span_days", "inferred_frequency", F.round("imputed_share", 4).alias("imputed_pct"), "duplicate_timestamps", "unparseable_dates",
         "non_numeric_values", "negative_values", "zero_pct", "outliers", "test_split_size", "effective_horizon")
 
 
+@query("d01b_profile_of_dense_series", ORACLES["d01_series_profile"])
+def d01b(spark: SparkSession, sf: str) -> DataFrame:
+    """The same report with every series over 500 timestamps on the dense path."""
+    return _profile_rows(Q.series_profile(load(spark, sf, "raw_readings"), HORIZON, TEST_WINDOW, dense_points=500))
+
+
 def _plural(n: str, word: str) -> str:
     return f"concat(format('{{:,}}', {n}), ' {word}', CASE WHEN {n} = 1 THEN '' ELSE 's' END)"
 
@@ -215,16 +225,16 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "scored_pairs")
 
 
-def _metric(name: str, sql: str, pick: str) -> None:
-    @query(name, PAIR_CTES + f"SELECT series_id, model, round({sql}, 6) AS {pick} FROM scored_pairs GROUP BY 1, 2")
+def _metric(name: str, sql: str, pick: str, digits: int = 6) -> None:
+    @query(name, PAIR_CTES + f"SELECT series_id, model, round({sql}, {digits}) AS {pick} FROM scored_pairs GROUP BY 1, 2")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return M.score_pairs(_pairs(spark, sf), KEY).select(*KEY, F.round(pick, 6).alias(pick))
+        return M.score_pairs(_pairs(spark, sf), KEY).select(*KEY, F.round(pick, digits).alias(pick))
 
 
 _metric("h01_wmape", WMAPE, "wmape")
-_metric("h02_mae", "AVG(abs(actual - predicted))", "mae")
+_metric("h02_mae", "AVG(abs(actual - predicted))", "mae", 4)
 _metric("h03_mape", "AVG(CASE WHEN abs(actual) > 1e-8 THEN abs((actual - predicted) / actual) END) * 100", "mape")
-_metric("h04_rmse", "sqrt(AVG((actual - predicted) * (actual - predicted)))", "rmse")
+_metric("h04_rmse", "sqrt(AVG((actual - predicted) * (actual - predicted)))", "rmse", 4)
 _metric("h05_accuracy", f"greatest(0.0, least(100.0, (1 - {WMAPE}) * 100))", "accuracy")
 
 TREND = """SELECT series_id, model, CASE WHEN COUNT(*) < 2 THEN 0.0 ELSE abs(regr_slope(actual, x) - regr_slope(predicted, x)) / (AVG(abs(actual)) + 1e-8) END AS trend,
@@ -269,11 +279,11 @@ def h10(spark: SparkSession, sf: str) -> DataFrame:
     return M.backtest_bias(_pairs(spark, sf), KEY).withColumn("forecast_bias", F.round("forecast_bias", 6))
 
 
-@query("h11_all_metrics", SCORE_CTES.rstrip() + f", w AS ({W})\n" + f"""SELECT series_id, model, CAST(n AS BIGINT) AS n, round(wmape, 6) AS wmape, round(mae, 6) AS mae, round(rmse, 6) AS rmse,
+@query("h11_all_metrics", SCORE_CTES.rstrip() + f", w AS ({W})\n" + f"""SELECT series_id, model, CAST(n AS BIGINT) AS n, round(wmape, 6) AS wmape, round(mae, 4) AS mae, round(rmse, 4) AS rmse,
   round(trend, 6) AS trend_error, round({COMPOSITE}, 6) AS composite_score FROM trend JOIN stds USING (series_id) JOIN w USING (series_id, model)""")
 def h11(spark: SparkSession, sf: str) -> DataFrame:
     s = M.score_pairs(_pairs(spark, sf), KEY, _train_std(spark, sf))
-    return s.select(*KEY, "n", *[F.round(c, 6).alias(c) for c in ("wmape", "mae", "rmse", "trend_error", "composite_score")])
+    return s.select(*KEY, "n", *[F.round(c, 4 if c in ("mae", "rmse") else 6).alias(c) for c in ("wmape", "mae", "rmse", "trend_error", "composite_score")])
 
 
 # ---- selection -----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "seriesloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark._seriesloom_checkpoint_dir = folder
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the shared checkpoint folder, so that a
+    lost executor costs a re-read and not a recomputation. Partitioning is kept."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
