@@ -224,16 +224,12 @@ def is_blocked(issues: Column) -> Column:
 def report_gate(report: DataFrame, general: DataFrame) -> DataFrame:
     """One row: may the run start? ``general`` holds issues about the selection
     itself (code, severity, message)."""
-    per_series = report.agg(
-        F.count("*").alias("n_series"), F.bool_or(is_blocked(F.col("issues"))).alias("_blocked")
-    )
-    overall = general.agg(F.count("*").alias("n_general"),
-                          F.bool_or(F.col("severity") == BLOCKING).alias("_blocked_general"))
-    nothing = F.col("n_series") == 0
-    blocked = F.coalesce(F.col("_blocked"), F.lit(False)) | F.coalesce(F.col("_blocked_general"), F.lit(False))
-    one = F.lit(1).alias("_one")
-    return per_series.select("*", one).join(overall.select("*", one), "_one").select(
-        "n_series", "n_general", (nothing | blocked).alias("has_blocking")
+    series = report.select(F.lit(True).alias("_series"), is_blocked(F.col("issues")).alias("_blocked"))
+    overall = general.select(F.lit(False).alias("_series"), (F.col("severity") == BLOCKING).alias("_blocked"))
+    blocked = F.coalesce(F.bool_or("_blocked"), F.lit(False)) | (F.count_if("_series") == 0)
+    return series.unionByName(overall).agg(
+        F.count_if("_series").alias("n_series"), F.count_if(~F.col("_series")).alias("n_general"),
+        blocked.alias("has_blocking"),
     )
 
 

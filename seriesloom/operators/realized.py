@@ -148,14 +148,17 @@ def candidate_uploads(jobs: DataFrame, job_metrics: DataFrame, uploads: DataFram
     """Per job: the owner's newer uploads, other than its input, holding at least one
     of its metric columns; newest 20 with ``place``.
 
-    Driven by column matches, so a job never meets uploads it shares no column with.
-    The rank has a fixed bound, which Spark applies before the shuffle.
+    "Newer than the job" only cuts the tail of a newest-first list, and the input is
+    a single upload, so per (owner, column) the newest 21 uploads decide every job.
+    They are found by a rank with a fixed bound, which Spark applies before the
+    shuffle; a column that many uploads share never meets all jobs that ask for it.
     """
-    asked = job_metrics.select("job_id", F.col("metric").alias("column_name")).distinct().join(
-        jobs.select("job_id", "user_id", F.col("created_at").alias("_job_at"), "input_upload_id"), "job_id"
-    )
+    newest = Window.partitionBy("user_id", "column_name").orderBy(F.desc("uploaded_at"), F.desc("upload_id"))
     offered = upload_columns.select("upload_id", "column_name").distinct().join(
         uploads.select("upload_id", "user_id", F.col("created_at").alias("uploaded_at")), "upload_id"
+    ).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= MAX_CANDIDATES + 1)
+    asked = job_metrics.select("job_id", F.col("metric").alias("column_name")).distinct().join(
+        jobs.select("job_id", "user_id", F.col("created_at").alias("_job_at"), "input_upload_id"), "job_id"
     )
     hits = asked.join(offered, ["user_id", "column_name"]).where(
         (F.col("uploaded_at") > F.col("_job_at"))
