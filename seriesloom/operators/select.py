@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.functions import rules
 
+# Scores are compared at nine decimals: the order of a distributed sum moves the last
+# bits, and a tie must not depend on it.
+TIE_DIGITS = 9
 SCORES = ("wmape", "mae", "mape", "rmse", "accuracy", "composite_score")
 RUN_KEY = ("job_id", "sheet_name", "metric_name")
 BASELINE = "Baseline_SMA"
@@ -30,7 +33,7 @@ def select_champion(scores: DataFrame) -> DataFrame:
     """Lowest composite score per series among completed models; ties go to the
     earlier routing rank. One aggregate, no window."""
     fields = [c for c in scores.columns if c != "series_id"]
-    best = F.min_by(F.struct(*fields), F.struct("composite_score", "rank"))
+    best = F.min_by(F.struct(*fields), F.struct(F.round("composite_score", TIE_DIGITS), "rank"))
     return scores.where("status = 'completed' and composite_score is not null").groupBy("series_id").agg(
         best.alias("b")
     ).select("series_id", "b.*")
@@ -86,7 +89,7 @@ def revert_to_baseline(champions: DataFrame, baseline_scores: DataFrame) -> Data
     base = baseline_scores.select("series_id", *[F.col(s).alias(f"_b_{s}") for s in SCORES if s in baseline_scores.columns])
     joined = champions.join(base, "series_id", "left")
     reverted = F.col("_b_wmape").isNotNull() & (
-        F.col("wmape").isNull() | (F.col("_b_wmape") < F.col("wmape"))
+        F.col("wmape").isNull() | (F.round("_b_wmape", TIE_DIGITS) < F.round("wmape", TIE_DIGITS))
     )
     out = joined.withColumn("reverted", reverted)
     for s in SCORES:

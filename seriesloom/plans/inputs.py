@@ -142,14 +142,14 @@ INPUTS: dict[str, str] = {
                sequence_no = 3 AS weekend_only
         FROM (SELECT l_orderkey AS job_id, concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
                      CAST((l_linenumber % 3) + 1 AS INT) AS sequence_no
-              FROM {lineitem} WHERE l_orderkey % 4 = 0
+              FROM {lineitem} WHERE l_linestatus = 'O'
               GROUP BY l_orderkey, l_returnflag, (l_linenumber % 3) + 1) AS e""",
     # what arrived later, for most of the stored forecasts
     "arrived_actuals": """
         SELECT l_orderkey AS job_id, concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
                l_orderkey * 8 + l_linenumber AS row_no, CAST(l_shipdate AS DATE) AS ds,
                CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 17 = 0 THEN -l_tax ELSE l_quantity * (1.0 - l_tax) END AS y
-        FROM {lineitem} WHERE l_partkey % 3 <> 0""",
+        FROM {lineitem} WHERE l_linestatus = 'F'""",
     # edit requests as free text
     "edit_requests": """
         SELECT event_id AS request_id,
@@ -166,6 +166,13 @@ INPUTS: dict[str, str] = {
                  WHEN 9 THEN '{{"operation_type":"set_value_range","date_from":"2024-01-05"}}'
                  ELSE concat('{{"operation_type":"set_value_range","value":3,"date_from":"2024-0', CAST(user_id % 12 AS STRING), '-10"}}') END AS raw_text
         FROM {events}""",
+    # result trees as JSON: nested, flat, and with entries that are no objects
+    "result_texts": """
+        SELECT o_orderkey AS job_id,
+               CASE WHEN o_orderkey % 3 = 0 THEN concat('{{"sheet_', o_orderstatus, '":{{"metrics":{{"quantity":{{"best_model":"Theta","wmape":0.', CAST(o_custkey AS STRING), '}},"broken":5}}}},"note":"x"}}')
+                    WHEN o_orderkey % 3 = 1 THEN concat('{{"sheet_', o_orderstatus, '":{{"quantity":{{"best_model":"Croston","wmape":0.', CAST(o_custkey AS STRING), '}},"price":{{"wmape":null}}}}}}')
+                    ELSE '{{"empty":{{}},"list":[1,2]}}' END AS result
+        FROM {orders}""",
     "uploads": """
         SELECT l_orderkey * 10 + l_linenumber AS upload_id, MIN(o_custkey % 13) AS user_id, CAST(MAX(l_shipdate) AS DATE) AS created_at
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber""",
@@ -173,7 +180,7 @@ INPUTS: dict[str, str] = {
         SELECT DISTINCT l_orderkey * 10 + l_linenumber AS upload_id, concat('metric_', CAST(l_partkey % 40 AS STRING)) AS column_name
         FROM {lineitem}""",
     "job_metrics": """
-        SELECT DISTINCT l_orderkey AS job_id, concat('metric_', CAST(l_suppkey % 40 AS STRING)) AS metric FROM {lineitem} WHERE l_orderkey % 50 = 0""",
+        SELECT DISTINCT l_orderkey AS job_id, concat('metric_', CAST(l_suppkey % 40 AS STRING)) AS metric FROM {lineitem}""",
 }
 
 

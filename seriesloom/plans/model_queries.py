@@ -201,10 +201,10 @@ MODEL_CTES = VIEW_CTES.rstrip() + f", gaps AS ({GAPS.format(src='treated')}), fi
 OUT = "SELECT t.series_id, t.kind, CAST(t.step AS INT) AS step, t.ds, round(greatest({value}, 0.0), 4) AS yhat FROM targets t JOIN m ON m.series_id = t.series_id AND m.kind = t.kind"
 
 
-def setup(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def setup(spark: SparkSession, sf: str, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cleaned views, fitting rows, targets) of the treated supplier series."""
     series, cutoff, cleaned = views(spark, sf)
-    return cleaned, G.fit_rows(cleaned), G.targets(series, cutoff, HORIZON)
+    return cleaned, G.fit_rows(cleaned), G.targets(series, cutoff, horizon)
 
 
 def _shown(predictions: DataFrame) -> DataFrame:
@@ -222,13 +222,14 @@ def g01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("g02_sparse_fallback", MODEL_CTES.rstrip() + f", m AS ({SMA})\n" + """
-SELECT series_id, kind, round(level, 4) AS level FROM m WHERE series_id IN (SELECT series_id FROM views WHERE part = 'train' GROUP BY 1 HAVING COUNT(*) < 90 OR (AVG(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) > 0.7 AND AVG(y) < 5))
-  OR series_id LIKE '%3'""")
+SELECT series_id, kind, round(level, 4) AS level, sparse FROM m JOIN (SELECT series_id, COUNT(*) < 90 OR (AVG(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) > 0.7 AND AVG(y) < 5) AS sparse FROM views WHERE part = 'train' GROUP BY 1) s USING (series_id)""")
 def g02(spark: SparkSession, sf: str) -> DataFrame:
+    """The fallback level of every series, and whether the series is sparse enough to get it."""
     from seriesloom.operators.demand import train_stats
     cleaned, _, _ = setup(spark, sf)
-    sparse = train_stats(cleaned.where("part = 'train'")).where("n_points < 90 or (zero_ratio > 0.7 and mean_val < 5) or series_id like '%3'")
-    return G.fit_sma(G.baseline_rows(cleaned)).join(sparse.select("series_id"), "series_id", "left_semi").withColumn("level", F.round("level", 4))
+    stats = train_stats(cleaned.where("part = 'train'"))
+    sparse = (F.col("n_points") < 90) | ((F.col("zero_ratio") > 0.7) & (F.col("mean_val") < 5))
+    return G.fit_sma(G.baseline_rows(cleaned)).join(stats.select("series_id", sparse.alias("sparse")), "series_id").withColumn("level", F.round("level", 4))
 
 
 LINE = "SELECT series_id, kind, MAX(n) AS n, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM n GROUP BY 1, 2"
@@ -290,9 +291,9 @@ def g09(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(S.paths_to_predictions(S.fit_differenced_ar(rows, wanted), wanted))
 
 
-def pooled_setup(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pooled_setup(spark: SparkSession, sf: str, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ``setup``, with the cleaned views written once: training reads them often."""
-    cleaned, _, wanted = setup(spark, sf)
+    cleaned, _, wanted = setup(spark, sf, horizon)
     cleaned = materialize(cleaned)
     return cleaned, G.fit_rows(cleaned), wanted
 
@@ -300,8 +301,8 @@ def pooled_setup(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
 def _pooled(name: str, model: str, **settings: float) -> None:
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        cleaned, rows, wanted = pooled_setup(spark, sf)
-        predictions, _ = PO.fit_pooled(model, cleaned, rows, wanted.where("step <= 7"), **settings)
+        cleaned, rows, wanted = pooled_setup(spark, sf, horizon=14)
+        predictions, _ = PO.fit_pooled(model, cleaned, rows, wanted, **settings)
         return _shown(predictions)
 
 

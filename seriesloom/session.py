@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +49,18 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executor costs a re-read and not a recomputation. Partitioning is kept."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, unique folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/seriesloom-{name}-{uuid.uuid4().hex}"
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None when nothing was written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
