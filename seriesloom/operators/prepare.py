@@ -7,7 +7,8 @@ Raw readings of any density go through ``keep_last`` and ``on_daily_grid`` first
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,22 +80,16 @@ def on_daily_grid(series: DataFrame) -> DataFrame:
     )
 
 
-def daily_grid(series: DataFrame, key: Sequence[str] = KEY, carry_recent: bool = False) -> DataFrame:
+def daily_grid(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Add the missing days between a series' first and last date with null y.
 
     Each row is stretched up to the day before its successor, so the gap filling
     needs no join and keeps the series partitioning for the windows that follow.
-    ``carry_recent`` adds the readings of the last 90 days as an array, built on
-    observed rows only; ``fill_candidates`` reads it where it must.
     """
     w = Window.partitionBy(*key).orderBy("ds")
     upto = F.coalesce(F.date_sub(F.lead("ds").over(w), 1), F.col("ds"))
     stretched = series.withColumn("_days", F.sequence(F.col("ds"), upto, F.expr("interval 1 day")))
-    if carry_recent:
-        by_day = Window.partitionBy(*key).orderBy(F.unix_date("ds")).rangeBetween(-90, 0)
-        reading = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
-        stretched = stretched.withColumn("_recent", F.collect_list(reading).over(by_day))
-    rest = [c for c in stretched.columns if c not in (*key, "ds", "y", "_days")]
+    rest = [c for c in series.columns if c not in (*key, "ds", "y")]
     return stretched.select(
         *key, *rest, F.col("ds").alias("_seen"), F.explode("_days").alias("ds"), F.col("y").alias("_y")
     ).select(
@@ -179,82 +174,84 @@ def analyze_treatment(series: DataFrame, bounded: bool = True) -> DataFrame:
     return choose_treatment(treatment_facts(series, bounded))
 
 
-def _middle(values: Column) -> Column:
-    """Median of an array without nulls; null when empty."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    upper = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lower + upper) / 2)
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def fill_candidates(grid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """For every missing day of a complete daily grid (made with ``carry_recent``),
-    what each fill rule would put there.
+def _middle(values: Column, present: Column) -> Column:
+    """Median of the ``present`` non-null values of an array; null when there are none.
+    ``sort_array`` puts nulls first, so they are skipped by position."""
+    def pick(ordered: Column) -> Column:
+        skipped = F.size(ordered) - present
+        lower = F.get(ordered, skipped + F.floor((present - 1) / 2).cast("int"))
+        upper = F.get(ordered, skipped + F.floor(present / 2).cast("int"))
+        return (lower + upper) / 2
+    return F.when(present > 0, _bind(F.sort_array(values), pick))
 
-    Adds ``fill_median``, ``fill_ffill``, ``fill_recent`` and ``fill_yearly``. On a
-    complete grid a day offset is a row offset: the same weekday in the last 90 days
-    is 12 lags and a year ago is 15, so nothing recomputes a sliding median.
+
+def impute(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Daily grid of a series with every missing day filled by its rule, from columns
+    weekend_treatment and weekday_treatment. Rules read observed values only.
+
+    What a rule needs from the series as a whole is worked out on the observed rows,
+    before they are stretched to days. On the grid a day offset is a row offset: the
+    same weekday in the last 90 days is 12 lags and a year ago is 15, so nothing
+    recomputes a sliding median, and medians are taken only where a value is missing.
     """
-    days = Window.partitionBy(*key).orderBy("ds")
-    whole = Window.partitionBy(*key)
+    days, whole = Window.partitionBy(*key).orderBy("ds"), Window.partitionBy(*key)
+    last_90 = Window.partitionBy(*key).orderBy(F.unix_date("ds")).rangeBetween(-90, 0)
     y = F.col("y")
-    columns = [c for c in grid.columns if c != "_recent"]
-    same_weekday, year_ago = range(7, 91, 7), range(358, 373)
-    staged = grid.withColumn("_pos", F.row_number().over(days)).select(
-        *columns, "_recent", "_pos",
-        *[F.lag(y, k).over(days).alias(f"_l{k}") for k in (*same_weekday, *year_ago)],
+    forward = F.col("weekday_treatment") == "ffill"
+    seasonal = F.col("weekday_treatment").isin("recent_seasonal_median", "yearly_seasonal_median")
+    opening = F.when(F.col("ds") < F.date_add("_first", 30), y)
+    stretch = F.datediff(F.lead("ds", 1).over(days), F.col("ds"))
+    facts = series.select(
+        "*", F.min("ds").over(whole).alias("_first"), F.percentile(y, F.lit(0.5)).over(whole).alias("_median"),
         F.last(y, ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, 0)).alias("_carried"),
-        F.percentile(y, F.lit(0.5)).over(whole).alias("fill_median"),
-        F.percentile(F.when(F.col("_pos") <= 30, y), F.lit(0.5)).over(whole).alias("_opening"),
-    ).withColumn("_carried_median", F.percentile("_carried", F.lit(0.5)).over(whole))
+        F.coalesce(stretch, F.lit(1)).cast("bigint").alias("_stretch"),
+    ).select(
+        "*", F.percentile(opening, F.lit(0.5)).over(whole).alias("_opening"),
+        F.percentile(F.when(forward, F.col("_carried")), F.lit(0.5), F.col("_stretch")).over(whole).alias("_carried_median"),
+        F.collect_list(F.when(seasonal & y.isNotNull(), F.struct("ds", "y"))).over(last_90).alias("_recent"),
+    ).drop("_stretch")
+    same_weekday, year_ago = range(7, 91, 7), range(358, 373)
+    grid = daily_grid(facts, key)
+    lagged = grid.select("*", *[F.lag(y, k).over(days).alias(f"_l{k}") for k in (*same_weekday, *year_ago)])
 
     def middle_of(lags: range) -> Column:
-        return _middle(F.array_compact(F.array(*[F.col(f"_l{k}") for k in lags])))
+        values = [F.col(f"_l{k}") for k in lags]
+        present = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+        return _middle(F.array(*values), present)
     day = F.col("ds")
-    near = F.transform(
-        F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day)), lambda r: r["y"]
+    near = _bind(
+        F.transform(F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day)), lambda r: r["y"]),
+        lambda values: _middle(values, F.size(values)),
     )
-    recent = F.coalesce(middle_of(same_weekday), _middle(near), F.col("_opening"), F.lit(0.0))
-    yearly = F.when(F.col("_pos") > 372, middle_of(year_ago))
-    missing = y.isNull()
-    return staged.select(
-        *columns,
-        F.when(missing, F.coalesce("fill_median", F.lit(0.0))).alias("fill_median"),
-        F.when(missing, F.coalesce("_carried", "_carried_median", F.lit(0.0))).alias("fill_ffill"),
-        F.when(missing, recent).alias("fill_recent"),
-        F.when(missing, F.coalesce(yearly, recent)).alias("fill_yearly"),
-    )
-
-
-def impute(grid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Fill missing days of a complete grid (made with ``carry_recent``) that has
-    weekend_treatment and weekday_treatment. Every rule reads observed values only."""
-    filled = fill_candidates(grid, key)
+    recent = F.coalesce(middle_of(same_weekday), near, F.col("_opening"), F.lit(0.0))
+    yearly = F.when(F.datediff("ds", "_first") >= 372, middle_of(year_ago))
     weekend = F.weekday("ds") >= 5
     strategy = F.when(weekend, F.col("weekend_treatment")).otherwise(F.col("weekday_treatment"))
     # forward fill, where chosen, runs over weekends too; zero is left for leading days
-    leading_zero = weekend & (F.col("weekend_treatment") == "zero") & ~F.col("_reached")
+    leading_zero = weekend & (F.col("weekend_treatment") == "zero") & F.col("_carried").isNull()
     value = (
-        F.when(F.col("weekday_treatment") == "ffill", F.when(leading_zero, F.lit(0.0)).otherwise(F.col("fill_ffill")))
+        F.when(forward, F.when(leading_zero, 0.0).otherwise(F.coalesce("_carried", "_carried_median", F.lit(0.0))))
         .when(strategy == "zero", F.lit(0.0))
-        .when(strategy == "yearly_seasonal_median", F.col("fill_yearly"))
-        .when(strategy == "recent_seasonal_median", F.col("fill_recent"))
-        .otherwise(F.col("fill_median"))
-    )
-    w = Window.partitionBy(*key).orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    reached = filled.withColumn("_reached", F.count("y").over(w) > 0)
-    return reached.withColumn("y", F.coalesce(F.col("y"), value)).drop(
-        "_reached", "fill_median", "fill_ffill", "fill_recent", "fill_yearly"
+        .when(strategy == "yearly_seasonal_median", F.coalesce(yearly, recent))
+        .when(strategy == "recent_seasonal_median", recent)
+        .otherwise(F.coalesce("_median", F.lit(0.0)))
     )
+    filled = F.when(y.isNull(), value).otherwise(y).alias("y")
+    return lagged.select(*[filled if c == "y" else F.col(c) for c in grid.columns if not c.startswith("_")])
 
 
 def clip_outliers(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Cap at Q3 + 3·IQR where outlier_treatment is 'clip' and the IQR is positive."""
-    quarters = F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*key))
+    clipped = F.when(F.col("outlier_treatment") == "clip", F.col("y"))
+    quarters = F.percentile(clipped, F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*key))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     cap = q3 + F.lit(rules.IQR_MULTIPLIER) * (q3 - q1)
-    clips = (F.col("outlier_treatment") == "clip") & (q3 - q1 > 0)
+    clips = F.coalesce(q3 - q1 > 0, F.lit(False))
     return series.withColumn("_q", quarters).withColumn(
         "y", F.when(clips, F.least(F.col("y"), cap)).otherwise(F.col("y"))
     ).drop("_q")
@@ -264,13 +261,13 @@ def clip_negative(series: DataFrame, allow_negative: bool = False) -> DataFrame:
     return series if allow_negative else series.withColumn("y", F.greatest(F.col("y"), F.lit(0.0)))
 
 
-def clean(grid: DataFrame, key: Sequence[str] = KEY, allow_negative: bool = False) -> DataFrame:
-    """Impute, clip outliers, clip negatives: one cleaned daily series per key."""
-    return clip_negative(clip_outliers(impute(grid, key), key), allow_negative)
+def clean(series: DataFrame, key: Sequence[str] = KEY, allow_negative: bool = False) -> DataFrame:
+    """Grid and impute, clip outliers, clip negatives: one cleaned daily series per key."""
+    return clip_negative(clip_outliers(impute(series, key), key), allow_negative)
 
 
-def impute_in_order(grid: DataFrame) -> DataFrame:
-    """The order-dependent form: each filled value is visible to later windows.
+def impute_in_order(series: DataFrame) -> DataFrame:
+    """The order-dependent form of ``impute``: each filled value is visible to later windows.
 
     Per-series fold over one bounded daily series; use it only where results must
     include earlier fills. ``impute`` is the parallel default.
@@ -309,6 +306,7 @@ def impute_in_order(grid: DataFrame) -> DataFrame:
             y[i] = 0.0 if np.isnan(value) else value
         return pdf.assign(y=y)
 
+    grid = daily_grid(series)
     return grid.groupBy(*KEY).applyInPandas(fold, grid.schema)
 
 
@@ -345,7 +343,7 @@ def clean_views(series: DataFrame, treatment: DataFrame, cutoff: DataFrame, allo
     own = F.when(F.col("ds") < F.col("test_start"), "train").otherwise("test")
     parts = with_facts(series, facts).withColumn("part", F.explode(F.array(own, F.lit("full")))).drop("test_start")
     key = ("series_id", "part")
-    return clean(daily_grid(parts, key, carry_recent=True), key, allow_negative).select(*key, "ds", "y", "was_observed")
+    return clean(parts, key, allow_negative).select(*key, "ds", "y", "was_observed")
 
 
 def gap_facts(series: DataFrame, bounded: bool = True) -> DataFrame:

@@ -279,8 +279,7 @@ def _with_rule(grid: DataFrame, weekday: str, weekend: str, outlier: str = "none
 
 
 def _imputed(spark: SparkSession, sf: str, weekday: str, weekend: str) -> DataFrame:
-    grid = P.daily_grid(load(spark, sf, "supplier_daily"), carry_recent=True)
-    return P.impute(_with_rule(grid, weekday, weekend)).select(
+    return P.impute(_with_rule(load(spark, sf, "supplier_daily"), weekday, weekend)).select(
         "series_id", "ds", F.round("y", 4).alias("y"))
 
 
@@ -316,8 +315,8 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c15_impute_in_order")
 def c15(spark: SparkSession, sf: str) -> DataFrame:
-    grid = _with_rule(supplier_grid(spark, sf), "yearly_seasonal_median", "zero")
-    return P.impute_in_order(grid).select("series_id", "ds", F.round("y", 4).alias("y"))
+    series = _with_rule(load(spark, sf, "supplier_daily"), "yearly_seasonal_median", "zero")
+    return P.impute_in_order(series).select("series_id", "ds", F.round("y", 4).alias("y"))
 
 
 @query("c16_iqr_clip", ctes("supplier_daily", treated=TREATED_SQL, q="""
