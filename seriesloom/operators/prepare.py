@@ -7,7 +7,7 @@ Raw readings of any density go through ``keep_last`` and ``on_daily_grid`` first
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -174,20 +174,17 @@ def analyze_treatment(series: DataFrame, bounded: bool = True) -> DataFrame:
     return choose_treatment(treatment_facts(series, bounded))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def _known(values: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
 
 
-def _middle(values: Column, present: Column) -> Column:
-    """Median of the ``present`` non-null values of an array; null when there are none.
-    ``sort_array`` puts nulls first, so they are skipped by position."""
-    def pick(ordered: Column) -> Column:
-        skipped = F.size(ordered) - present
-        lower = F.get(ordered, skipped + F.floor((present - 1) / 2).cast("int"))
-        upper = F.get(ordered, skipped + F.floor(present / 2).cast("int"))
-        return (lower + upper) / 2
-    return F.when(present > 0, _bind(F.sort_array(values), pick))
+def _middle(ordered: Column, known: Column) -> Column:
+    """Median of the ``known`` non-null values of a sorted array with nulls first;
+    null when there are none."""
+    skipped = F.size(ordered) - known
+    lower = F.get(ordered, skipped + F.floor((known - 1) / 2).cast("int"))
+    upper = F.get(ordered, skipped + F.floor(known / 2).cast("int"))
+    return F.when(known > 0, (lower + upper) / 2)
 
 
 def impute(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -219,30 +216,36 @@ def impute(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     grid = daily_grid(facts, key)
     lagged = grid.select("*", *[F.lag(y, k).over(days).alias(f"_l{k}") for k in (*same_weekday, *year_ago)])
 
-    def middle_of(lags: range) -> Column:
+    weekend = F.weekday("ds") >= 5
+    strategy = F.when(weekend, F.col("weekend_treatment")).otherwise(F.col("weekday_treatment"))
+    # the arrays get a projection of their own, which keeps the sort in generated code
+    wants_year = y.isNull() & (strategy == "yearly_seasonal_median") & (F.datediff("ds", "_first") >= 372)
+    wants_near = y.isNull() & strategy.isin("recent_seasonal_median", "yearly_seasonal_median")
+
+    def sorted_lags(lags: range, wanted: Column, name: str) -> list[Column]:
         values = [F.col(f"_l{k}") for k in lags]
-        present = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
-        return _middle(F.array(*values), present)
+        return [F.when(wanted, F.sort_array(F.array(*values))).alias(name), F.when(wanted, _known(values)).alias(f"{name}_n")]
+    kept = grid.columns
+    ordered = lagged.select(*kept, *sorted_lags(same_weekday, wants_near, "_dow"), *sorted_lags(year_ago, wants_year, "_year"))
     day = F.col("ds")
-    near = _bind(
-        F.transform(F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day)), lambda r: r["y"]),
-        lambda values: _middle(values, F.size(values)),
+    inside = F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day))
+    lonely = wants_near & (F.col("_dow_n") == 0) & (F.coalesce("_year_n", F.lit(0)) == 0)
+    staged = ordered.select(
+        *kept, _middle(F.col("_year"), F.col("_year_n")).alias("_yearly"), _middle(F.col("_dow"), F.col("_dow_n")).alias("_weekly"),
+        F.when(lonely, F.sort_array(F.transform(inside, lambda r: r["y"]))).alias("_near"),
     )
-    recent = F.coalesce(middle_of(same_weekday), near, F.col("_opening"), F.lit(0.0))
-    yearly = F.when(F.datediff("ds", "_first") >= 372, middle_of(year_ago))
-    weekend = F.weekday("ds") >= 5
-    strategy = F.when(weekend, F.col("weekend_treatment")).otherwise(F.col("weekday_treatment"))
+    recent = F.coalesce("_weekly", _middle(F.col("_near"), F.size("_near")), "_opening", F.lit(0.0))
     # forward fill, where chosen, runs over weekends too; zero is left for leading days
     leading_zero = weekend & (F.col("weekend_treatment") == "zero") & F.col("_carried").isNull()
     value = (
         F.when(forward, F.when(leading_zero, 0.0).otherwise(F.coalesce("_carried", "_carried_median", F.lit(0.0))))
         .when(strategy == "zero", F.lit(0.0))
-        .when(strategy == "yearly_seasonal_median", F.coalesce(yearly, recent))
+        .when(strategy == "yearly_seasonal_median", F.coalesce(F.col("_yearly"), recent))
         .when(strategy == "recent_seasonal_median", recent)
         .otherwise(F.coalesce("_median", F.lit(0.0)))
     )
     filled = F.when(y.isNull(), value).otherwise(y).alias("y")
-    return lagged.select(*[filled if c == "y" else F.col(c) for c in grid.columns if not c.startswith("_")])
+    return staged.select(*[filled if c == "y" else F.col(c) for c in kept if not c.startswith("_")])
 
 
 def clip_outliers(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
