@@ -175,7 +175,9 @@ def analyze_treatment(series: DataFrame, bounded: bool = True) -> DataFrame:
 
 
 def _known(values: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+    """How many are not null. Summed as doubles, which need no overflow checks: with
+    them the generated method grows past what the JVM compiles."""
+    return reduce(lambda a, b: a + b, [F.when(v.isNull(), 0.0).otherwise(1.0) for v in values]).cast("int")
 
 
 def _middle(ordered: Column, known: Column) -> Column:

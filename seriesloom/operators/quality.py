@@ -207,8 +207,9 @@ def series_issues(profile: DataFrame, horizon: int) -> DataFrame:
     return profile.withColumn("issues", F.array_compact(F.array(*issues)))
 
 
-def quality_report(readings: DataFrame, horizon: int, test_window: int) -> DataFrame:
-    return series_issues(series_profile(readings, horizon, test_window), horizon)
+def quality_report(readings: DataFrame, horizon: int, test_window: int, dense_points: int = DENSE_POINTS) -> DataFrame:
+    """Profile and issues of every series, one row each."""
+    return series_issues(series_profile(readings, horizon, test_window, dense_points), horizon)
 
 
 def issue_rows(report: DataFrame) -> DataFrame:
