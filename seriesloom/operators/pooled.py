@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seriesloom.functions.rules import finite
 from seriesloom.operators import metrics as M
 from seriesloom.operators.features import LAGS, univariate_features
 from seriesloom.functions.timecols import is_month_end, is_month_start, is_weekend
@@ -121,10 +122,13 @@ def forecast_paths(model: Model, states: DataFrame, shift: DataFrame | None, ste
     keep = current.columns
     for step in range(1, steps + 1):
         rows = current.select(*keep, *future_row(F.col("state"), F.date_add("last_ds", step)))
+        # a prediction that is not finite is left out of the path; the last value stands in for it
         guessed = model.transform(assembler.transform(rows)).withColumn(
-            "_p", F.greatest(F.lit(0.0), F.col("prediction") + F.col("shift")))
+            "_p", F.greatest(F.lit(0.0), finite(F.col("prediction") + F.col("shift")))
+        ).withColumn("_p", F.when(finite(F.col("prediction")).isNotNull(), F.col("_p")))
+        stand_in = F.coalesce("_p", F.element_at("state", -1))
         current = guessed.select(*[
-            F.slice(F.concat("state", F.array("_p")), F.lit(-STATE_DAYS), F.lit(STATE_DAYS)).alias("state") if c == "state"
+            F.slice(F.concat("state", F.array(stand_in)), F.lit(-STATE_DAYS), F.lit(STATE_DAYS)).alias("state") if c == "state"
             else F.concat("path", F.array("_p")).alias("path") if c == "path" else F.col(c)
             for c in keep
         ])
@@ -148,7 +152,7 @@ def fit_pooled(name: str, views: DataFrame, fit_rows: DataFrame, wanted: DataFra
     paths = forecast_paths(model, states, shift, steps)
     predictions = wanted.join(paths, ["series_id", "kind"]).select(
         "series_id", F.lit(name).alias("model"), "kind", "step", "ds", F.get("path", F.col("step") - 1).alias("yhat"))
-    return predictions, model
+    return predictions.where("yhat is not null"), model
 
 
 def feature_importance(model: Model, name: str, df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:

@@ -157,13 +157,13 @@ def test_numeric_models(spark):
 
 
 def test_pooled_models_and_recursion(spark):
-    t = np.arange(240)
-    series = {f"s{k}": (20 * k + 5 * k * np.sin(2 * np.pi * t / 7)).tolist() for k in range(1, 5)}
+    t, rng = np.arange(240), np.random.default_rng(5)
+    series = {f"s{k}": (20 * k + 5 * k * np.sin(2 * np.pi * t / 7) + rng.normal(0, 0.2 * k, 240)).tolist() for k in range(1, 5)}
     table = frame(spark, {k: list(enumerate(v)) for k, v in series.items()})
     views = table.withColumn("part", F.lit("train"))
     rows, wanted = table.withColumn("kind", F.lit("future")), ahead(spark, list(series), 14, 240)
     future = np.arange(240, 254)
-    for name, tolerance in (("Ridge", 0.05), ("Huber", 0.05), ("ExtraTrees", 0.25)):
+    for name, tolerance in (("Ridge", 0.10), ("Huber", 0.15), ("ExtraTrees", 0.25)):
         made, model = PO.fit_pooled(name, views, rows, wanted)
         got = forecast(made)
         for k in range(1, 5):
