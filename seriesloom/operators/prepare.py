@@ -8,7 +8,6 @@ Raw readings of any density go through ``keep_last`` and ``on_daily_grid`` first
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -174,19 +173,12 @@ def analyze_treatment(series: DataFrame, bounded: bool = True) -> DataFrame:
     return choose_treatment(treatment_facts(series, bounded))
 
 
-def _known(values: Sequence[Column]) -> Column:
-    """How many are not null. Summed as doubles, which need no overflow checks: with
-    them the generated method grows past what the JVM compiles."""
-    return reduce(lambda a, b: a + b, [F.when(v.isNull(), 0.0).otherwise(1.0) for v in values]).cast("int")
-
-
-def _middle(ordered: Column, known: Column) -> Column:
-    """Median of the ``known`` non-null values of a sorted array with nulls first;
-    null when there are none."""
-    skipped = F.size(ordered) - known
-    lower = F.get(ordered, skipped + F.floor((known - 1) / 2).cast("int"))
-    upper = F.get(ordered, skipped + F.floor(known / 2).cast("int"))
-    return F.when(known > 0, (lower + upper) / 2)
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array without nulls; null when it is empty."""
+    n = F.size(ordered)
+    lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
+    upper = F.get(ordered, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, (lower + upper) / 2)
 
 
 def impute(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -220,23 +212,23 @@ def impute(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
     weekend = F.weekday("ds") >= 5
     strategy = F.when(weekend, F.col("weekend_treatment")).otherwise(F.col("weekday_treatment"))
-    # the arrays get a projection of their own, which keeps the sort in generated code
+    # a projection of its own for the arrays keeps each generated method small
     wants_year = y.isNull() & (strategy == "yearly_seasonal_median") & (F.datediff("ds", "_first") >= 372)
     wants_near = y.isNull() & strategy.isin("recent_seasonal_median", "yearly_seasonal_median")
 
-    def sorted_lags(lags: range, wanted: Column, name: str) -> list[Column]:
-        values = [F.col(f"_l{k}") for k in lags]
-        return [F.when(wanted, F.sort_array(F.array(*values))).alias(name), F.when(wanted, _known(values)).alias(f"{name}_n")]
+    def known_sorted(lags: range, wanted: Column, name: str) -> Column:
+        values = F.array_compact(F.array(*[F.col(f"_l{k}") for k in lags]))
+        return F.when(wanted, F.sort_array(values)).alias(name)
     kept = grid.columns
-    ordered = lagged.select(*kept, *sorted_lags(same_weekday, wants_near, "_dow"), *sorted_lags(year_ago, wants_year, "_year"))
+    ordered = lagged.select(*kept, known_sorted(same_weekday, wants_near, "_dow"), known_sorted(year_ago, wants_year, "_year"))
     day = F.col("ds")
     inside = F.filter("_recent", lambda r: (r["ds"] >= F.date_sub(day, 90)) & (r["ds"] < day))
-    lonely = wants_near & (F.col("_dow_n") == 0) & (F.coalesce("_year_n", F.lit(0)) == 0)
+    lonely = wants_near & (F.size("_dow") == 0) & (F.coalesce(F.size("_year"), F.lit(0)) <= 0)
     staged = ordered.select(
-        *kept, _middle(F.col("_year"), F.col("_year_n")).alias("_yearly"), _middle(F.col("_dow"), F.col("_dow_n")).alias("_weekly"),
+        *kept, _middle(F.col("_year")).alias("_yearly"), _middle(F.col("_dow")).alias("_weekly"),
         F.when(lonely, F.sort_array(F.transform(inside, lambda r: r["y"]))).alias("_near"),
     )
-    recent = F.coalesce("_weekly", _middle(F.col("_near"), F.size("_near")), "_opening", F.lit(0.0))
+    recent = F.coalesce("_weekly", _middle(F.col("_near")), "_opening", F.lit(0.0))
     # forward fill, where chosen, runs over weekends too; zero is left for leading days
     leading_zero = weekend & (F.col("weekend_treatment") == "zero") & F.col("_carried").isNull()
     value = (
