@@ -107,8 +107,11 @@ def timed_runs(jobs: DataFrame) -> DataFrame:
     start is a clock problem, not a run."""
     usable = jobs.where("status = 'success' and started_at is not null and completed_at is not null "
                         "and completed_at >= started_at")
-    seconds = (F.unix_micros(F.col("completed_at").cast("timestamp"))
-               - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    # parts of the interval: right for zoned and for wall-clock timestamps alike
+    took = F.col("completed_at") - F.col("started_at")
+    seconds = sum((F.date_part(F.lit(unit), took).cast("double") * size
+                   for unit, size in (("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))),
+                  F.date_part(F.lit("DAY"), took).cast("double") * 86_400)
     return _newest(usable, TIMED_RUNS).withColumn("duration_seconds", seconds)
 
 

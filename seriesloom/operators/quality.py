@@ -240,8 +240,3 @@ def group_issues(report: DataFrame, general: DataFrame) -> DataFrame:
     rows = issue_rows(report).select(F.col("series_id").alias("label"), "severity", F.lit(1).alias("place"))
     top = general.select(F.lit(None).cast("string").alias("label"), "severity", F.lit(0).alias("place"))
     return rows.unionByName(top).groupBy("severity", "place", "label").agg(F.count("*").alias("issues"))
-
-
-def catalog(long_raw: DataFrame) -> DataFrame:
-    """Rows per sheet of a multi-sheet table."""
-    return long_raw.groupBy("sheet").agg(F.count("*").alias("row_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.functions import rules
@@ -154,12 +156,12 @@ def model_runs(board: DataFrame, headline: DataFrame) -> DataFrame:
     return entries.unionByName(_from_headline(missing, columns))
 
 
-def sort_leaderboard(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
+def sort_leaderboard(rows: DataFrame, by: str, ascending: bool = True, tiebreak: Sequence[str] = ("model_name",)) -> DataFrame:
     """Add ``place`` per key: champion first, then the chosen score, missing scores
-    last, name as tiebreak."""
+    last, then the name and whatever else breaks ties."""
     score = F.when(~F.isnan(F.col(by)), F.col(by))
     order = score.asc_nulls_last() if ascending else score.desc_nulls_last()
-    w = Window.partitionBy(*RUN_KEY).orderBy(F.col("is_champion").desc(), order, F.col("model_name"))
+    w = Window.partitionBy(*RUN_KEY).orderBy(F.col("is_champion").desc(), order, *tiebreak)
     return rows.withColumn("place", F.row_number().over(w))
 
 

@@ -431,16 +431,11 @@ def i11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("i12_leaderboard_order", ctes("model_runs") + """
-SELECT job_id, sheet_name, metric_name, CAST(place AS INT) AS place, model_name, round(mae, 4) AS mae, is_champion FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id, sheet_name, metric_name ORDER BY is_champion DESC, CASE WHEN NOT isnan(composite_score) THEN composite_score END ASC NULLS LAST, model_name) AS place FROM model_runs) t
-WHERE id NOT IN (SELECT id FROM (SELECT id, COUNT(*) OVER (PARTITION BY job_id, sheet_name, metric_name, model_name, CASE WHEN NOT isnan(composite_score) THEN composite_score END) AS ties FROM model_runs) x WHERE ties > 1)""")
+SELECT id, job_id, sheet_name, metric_name, CAST(row_number() OVER (PARTITION BY job_id, sheet_name, metric_name ORDER BY is_champion DESC, CASE WHEN NOT isnan(composite_score) THEN composite_score END ASC NULLS LAST, model_name, id) AS INT) AS place,
+  model_name, is_champion FROM model_runs""")
 def i12(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-    placed = S.sort_leaderboard(load(spark, sf, "model_runs"), "composite_score")
-    # rows that tie on score and name have no defined order; leave only those out
-    score = F.when(~F.isnan("composite_score"), F.col("composite_score"))
-    ties = F.count("*").over(Window.partitionBy(*RUN, "model_name", score))
-    return placed.withColumn("_t", ties).where("_t = 1").select(*RUN, "place", "model_name", F.round("mae", 4).alias("mae"), "is_champion")
+    placed = S.sort_leaderboard(load(spark, sf, "model_runs"), "composite_score", tiebreak=("model_name", "id"))
+    return placed.select("id", *RUN, "place", "model_name", "is_champion")
 
 
 @query("i13_assemble_records", VIEW_CTES + """

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seriesloom.functions.timecols import MICROS_PER_DAY, micros
 from seriesloom.operators.prepare import keep_last
 from seriesloom.operators.realized import compare
 from seriesloom.session import materialize, stored_table
@@ -14,10 +15,15 @@ from seriesloom.session import materialize, stored_table
 
 def daily_rollup(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """(series_id, ts, y) events to one row per series and day. State per open day is
-    one partial aggregate per series; rows later than ``lateness`` are dropped."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("day"), "series_id").agg(
+    one partial aggregate per series; rows later than ``lateness`` are dropped.
+
+    ``ts`` is wall-clock time. Days are cut on it whatever the session time zone is.
+    """
+    stamped = events.withColumn("ts", F.timestamp_micros(micros(F.col("ts"))))
+    day = F.date_from_unix_date(F.floor(F.unix_micros("day.start") / MICROS_PER_DAY).cast("int"))
+    return stamped.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("day"), "series_id").agg(
         F.sum("y").alias("y"), F.count("*").alias("readings")
-    ).select("series_id", F.col("day.start").cast("date").alias("ds"), "y", "readings")
+    ).select("series_id", day.alias("ds"), "y", "readings")
 
 
 def write_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
