@@ -201,20 +201,33 @@ def screen_features(frame: DataFrame, features: Sequence[str] = FEATURES, top: i
     ).select("feature", "importance", "mi", ((F.col("_r") <= top) | (F.col("_m") <= top) | (F.col("_c") < cumulative) | forced).alias("kept"))
 
 
-def blend(pairs: DataFrame, scores: DataFrame, top: int = 2, max_gap: float = 0.20) -> DataFrame:
-    """Inverse-WMAPE blend of each series' two best models, kept only when it beats
-    the best. ``pairs`` (series_id, model, ds, actual, predicted), ``scores``
-    (series_id, model, wmape). Returns (series_id, model, ds, actual, predicted)."""
+def blend_weights(scores: DataFrame, top: int = 2, max_gap: float = 0.20) -> DataFrame:
+    """Inverse-WMAPE weights of each series' best models: (series_id, model, blend,
+    best, weight). Series whose best model is far ahead, or perfect, get none."""
     w = Window.partitionBy("series_id").orderBy("wmape", "model")
     ranked = scores.where("wmape is not null").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "model"))), lambda s: s["model"])
     eligible = ranked.groupBy("series_id").agg(
-        F.count("*").alias("_n"), F.min("wmape").alias("_best"), F.max("wmape").alias("_second"),
+        F.count("*").alias("_n"), F.min("wmape").alias("best"), F.max("wmape").alias("_second"),
         F.sum(1 / (F.col("wmape") + F.lit(1e-8))).alias("_inv"),
-        F.concat(F.lit("Ensemble["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "model"))), lambda s: s["model"]), "+"), F.lit("]")).alias("_name"),
-    ).where((F.col("_n") == top) & (F.col("_best") >= 1e-6) & ((F.col("_second") - F.col("_best")) / (F.col("_best") + 1e-8) <= max_gap))
-    weights = ranked.join(eligible, "series_id").select(
-        "series_id", "model", "_name", "_best", ((1 / (F.col("wmape") + F.lit(1e-8))) / F.col("_inv")).alias("_w"))
-    mixed = pairs.join(weights, ["series_id", "model"]).groupBy("series_id", F.col("_name").alias("model"), "_best", "ds").agg(
-        F.max("actual").alias("actual"), F.sum(F.col("predicted") * F.col("_w")).alias("predicted"))
-    better = mixed.groupBy("series_id", "_best").agg(M.wmape().alias("_blend")).where("_blend < _best").select("series_id")
-    return mixed.drop("_best").join(better, "series_id", "left_semi")
+        F.concat(F.lit("Ensemble["), F.array_join(names, "+"), F.lit("]")).alias("blend"),
+    ).where((F.col("_n") == top) & (F.col("best") >= 1e-6) & ((F.col("_second") - F.col("best")) / (F.col("best") + 1e-8) <= max_gap))
+    return ranked.join(eligible, "series_id").select(
+        "series_id", "model", "blend", "best", ((1 / (F.col("wmape") + F.lit(1e-8))) / F.col("_inv")).alias("weight"))
+
+
+def blend(pairs: DataFrame, scores: DataFrame, top: int = 2, max_gap: float = 0.20) -> DataFrame:
+    """Weighted blend of each series' two best models, kept only when it beats the
+    best. ``pairs`` (series_id, model, ds, actual, predicted), ``scores``
+    (series_id, model, wmape). Returns (series_id, model, ds, actual, predicted)."""
+    weighted = pairs.join(blend_weights(scores, top, max_gap), ["series_id", "model"])
+    mixed = weighted.groupBy("series_id", F.col("blend").alias("model"), "best", "ds").agg(
+        F.max("actual").alias("actual"), F.sum(F.col("predicted") * F.col("weight")).alias("predicted"))
+    better = mixed.groupBy("series_id", "best").agg(M.wmape().alias("_blend")).where("_blend < best").select("series_id")
+    return mixed.drop("best").join(better, "series_id", "left_semi")
+
+
+def blend_forecasts(predictions: DataFrame, weights: DataFrame) -> DataFrame:
+    """Blended predictions of both kinds, with the weights found on the test window."""
+    return predictions.join(weights, ["series_id", "model"]).groupBy("series_id", F.col("blend").alias("model"), "kind", "step", "ds").agg(
+        F.sum(F.col("yhat") * F.col("weight")).alias("yhat"))
