@@ -207,3 +207,15 @@ def test_generated_series_land_in_their_quadrant(spark):
     assert generators.trend_season_demo(keys).count() == 5 * 732
     a, b = (generators.lumpy_parts(keys).orderBy("series_id", "ds").collect() for _ in range(2))
     assert a == b
+
+
+def test_feature_screening(spark):
+    rng = np.random.default_rng(2)
+    x, noise = rng.normal(0, 1, 2000), rng.normal(0, 1, 2000)
+    rows = [(float(a), float(b), float(i % 12), float(a * a + 0.05 * c)) for i, (a, b, c) in enumerate(zip(x, noise, rng.normal(0, 1, 2000)))]
+    names = ["signal", "noise", "month_sin"]
+    table = PO.VectorAssembler(inputCols=names, outputCol="features").transform(spark.createDataFrame(rows, "signal double, noise double, month_sin double, y double"))
+    got = {r["feature"]: r for r in PO.screen_features(table, names, top=1, cumulative=0.5, trees=5, depth=4).collect()}
+    # the target is an even function of the signal: no correlation, much information
+    assert got["signal"]["mi"] > 10 * got["noise"]["mi"] and got["signal"]["importance"] > 0.9
+    assert got["signal"]["kept"] and got["month_sin"]["kept"] and not got["noise"]["kept"]
