@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -31,16 +30,31 @@ def get_session(app_name: str = "seriesloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. A temporary one is made only
-    where ``spark.checkpoint.dir`` is unset, which is the case in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: ``spark.checkpoint.dir`` where it is set,
+    else one of this application's own below the warehouse folder, removed when the JVM ends.
+
+    Raises on a cluster whose only candidate is a machine's own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_seriesloom_checkpoint_dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="run-checkpoint-")
-            spark._seriesloom_checkpoint_dir = folder
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder.rstrip("/")
+    sc = spark.sparkContext
+    warehouse = sc._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+    fs = warehouse.getFileSystem(sc._jsc.hadoopConfiguration())
+    warehouse = fs.makeQualified(warehouse)
+    if warehouse.toUri().getScheme() == "file" and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = sc._jvm.org.apache.hadoop.fs.Path(warehouse, f".scratch-{sc.applicationId}")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString().rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Points ``checkpoint()`` at the shared folder, once per application."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -52,8 +66,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/seriesloom-{name}-{uuid.uuid4().hex}"
+    """A new, unique folder below the shared folder."""
+    return f"{shared_folder(spark)}/seriesloom-{name}-{uuid.uuid4().hex}"
 
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
