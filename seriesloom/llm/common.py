@@ -100,20 +100,23 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _LOWER_VALUES = BYTE_VALUES[_LOWER]
+_NO_LETTER = np.zeros(256, dtype=bool)
+_NO_LETTER[[b for b in range(128) if not chr(b).isalnum()]] = True
 _PIECE = 1 << 20
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) in their order.
-    Long texts are worked off in pieces that end between words."""
+def word_hashes(text: bytes, letters: bool = False) -> np.ndarray:
+    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) in their order; with
+    ``letters``, ASCII punctuation parts words too. Long texts are worked off in pieces that end between words."""
     out, at = [], 0
+    gap = _NO_LETTER if letters else _SPACE
     while at < len(text):
         end = min(at + _PIECE, len(text))
-        while end < len(text) and not _SPACE[text[end]]:
+        while end < len(text) and not gap[text[end]]:
             end += 1
         raw = np.frombuffer(text, np.uint8, end - at, at)
         inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        inside[1:-1] = ~_SPACE[raw]
+        inside[1:-1] = ~gap[raw]
         edge = np.diff(inside)
         prefix = prefix_hash(_LOWER_VALUES[raw])
         out.append(span_hash(prefix, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))

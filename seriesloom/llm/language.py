@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from seriesloom.llm.common import columns, in_batches, load
 from seriesloom.llm.registry import query
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 REMEMBERED = 200_000
 
 
@@ -119,8 +119,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(((*k, c) for k, c in counts.items()), schema, 50_000)
 
 
-def identify(df: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row, from its whole text alone.
+def identify(df: DataFrame, model: Model, records: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row, from its whole text alone; with ``records``, ``record`` (all
+    columns of ``df``) instead of ``doc_id``.
 
     Each word (run of letters, lower-cased) scores by its log frequency where the model knows it, else by
     ever shorter n-grams; the language with the best mean wins, the first by name among equals, and ``score`` is
@@ -129,12 +130,19 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
     language at chance. The model is bounded (:func:`train`), so it is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    carried = df.select(F.struct("*").alias("record")) if records else df.select(F.col("doc_id").cast("long"), "text")
+    first = carried.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        yield from in_batches(((doc, *scorer.predict(text)) for batch in batches
-                               for doc, text in zip(*columns(batch, "doc_id", "text"))), RESULT)
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+        for batch in batches:
+            kept = batch.column(0)
+            text = kept.field("text") if records else batch.column("text")
+            told = [scorer.predict(t) for t in text.to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept, pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())],
+                                             names=[first.name, "lang_pred", "score"])
+    schema = StructType([first, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return carried.mapInArrow(run, schema)
 
 
 def remainder():
