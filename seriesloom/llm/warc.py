@@ -109,9 +109,11 @@ def _inflated(path: str) -> Iterator[bytes]:
         unpack = zlib.decompressobj(wbits=GZIP)
         while data := f.read(CHUNK):
             while data:
-                yield unpack.decompress(data, CHUNK)
-                while unpack.unconsumed_tail:
-                    yield unpack.decompress(unpack.unconsumed_tail, CHUNK)
+                out = unpack.decompress(data, CHUNK)
+                yield out
+                while not unpack.eof and (unpack.unconsumed_tail or len(out) == CHUNK):
+                    out = unpack.decompress(unpack.unconsumed_tail, CHUNK)
+                    yield out
                 data = unpack.unused_data
                 if unpack.eof:
                     unpack = zlib.decompressobj(wbits=GZIP)
