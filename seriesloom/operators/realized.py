@@ -39,12 +39,11 @@ def actual_series(readings: DataFrame, key: Sequence[str], order: Sequence[str]
     return by_day(readings.where(F.col("ds").isNotNull()), key, order)
 
 
-def forecast_series(records: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Non-null forecasts by day."""
+def forecast_series(records: DataFrame, key: Sequence[str] = KEY, order: Sequence[str] = ("ds", "forecast")) -> DataFrame:
+    """Non-null forecasts by day; of several on a day the last in ``order`` stays."""
     usable = records.where(F.col("ds").isNotNull() & F.col("forecast").isNotNull())
-    return usable.select(*key, F.col("ds").cast("date").alias("ds"), "forecast").groupBy(*key, "ds").agg(
-        F.max("forecast").alias("forecast")
-    )
+    return usable.groupBy(*key, F.col("ds").cast("date").alias("_day")).agg(
+        F.max_by("forecast", F.struct(*order)).alias("forecast")).withColumnRenamed("_day", "ds").select(*key, "ds", "forecast")
 
 
 def _scores(a: str, f: str) -> list[Column]:

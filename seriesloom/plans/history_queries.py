@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesloom.operators import edits as E, history as H, realized as R
 from seriesloom.plans.inputs import ctes, load
@@ -137,16 +137,21 @@ def _compared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _JOB_SHEETS = "SELECT DISTINCT o_custkey AS job_id, o_orderstatus AS job_sheet FROM orders"
-_UPLOAD_SHEETS = "SELECT DISTINCT o_custkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS upload_sheet FROM orders WHERE o_totalprice > 150000"
+_UPLOAD_SHEETS = "SELECT DISTINCT CASE WHEN o_totalprice > 150000 THEN o_custkey ELSE -o_custkey END AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS upload_sheet FROM orders"
 PAIRS = """SELECT j.job_id, j.job_sheet, u.upload_sheet FROM js j JOIN us u ON u.job_id = j.job_id AND u.upload_sheet = j.job_sheet UNION
   SELECT job_id, MIN(job_sheet), MIN(upload_sheet) FROM js JOIN us USING (job_id) GROUP BY 1 HAVING COUNT(DISTINCT job_sheet) = 1 AND COUNT(DISTINCT upload_sheet) = 1"""
 
 
+def _uploaded(price: int) -> Column:
+    """The job an upload belongs to; those of cheaper orders belong to jobs that do not exist."""
+    return F.when(F.col("o_totalprice") > price, F.col("o_custkey")).otherwise(-F.col("o_custkey")).alias("job_id")
+
+
 def _sheets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from seriesloom.plans.inputs import table
     o = table(spark, sf, "orders")
     jobs = o.select(F.col("o_custkey").alias("job_id"), F.col("o_orderstatus").alias("job_sheet")).distinct()
-    ups = o.where("o_totalprice > 150000").select(F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("upload_sheet")).distinct()
+    ups = o.select(_uploaded(150000), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("upload_sheet")).distinct()
     return jobs, ups
 
 
@@ -160,9 +165,10 @@ def k02(spark: SparkSession, sf: str) -> DataFrame:
     return _actuals(spark, sf).withColumn("y", F.round("y", 4))
 
 
-@query("k03_forecast_series", ctes("stored_records") + "SELECT job_id, sheet_name, metric_name, ds, round(forecast, 4) AS forecast FROM stored_records WHERE forecast IS NOT NULL")
+@query("k03_forecast_series", ctes("forecast_log") + """SELECT job_id, sheet_name, metric_name, CAST(ds AS DATE) AS ds, round(forecast, 4) AS forecast FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id, sheet_name, CAST(ds AS DATE) ORDER BY ds DESC, row_no DESC) AS nth FROM forecast_log WHERE forecast IS NOT NULL) t WHERE nth = 1""")
 def k03(spark: SparkSession, sf: str) -> DataFrame:
-    return R.forecast_series(_records(spark, sf)).withColumn("forecast", F.round("forecast", 4))
+    return R.forecast_series(load(spark, sf, "forecast_log"), order=("ds", "row_no")).withColumn("forecast", F.round("forecast", 4))
 
 
 @query("k04_compare", REALIZED_CTES + """SELECT job_id, sheet_name, metric_name, CAST(forecast_points AS BIGINT) AS forecast_points, CAST(matched AS BIGINT) AS matched_points, round(CASE WHEN size > 0 THEN miss / size END, 6) AS wmape,
@@ -181,7 +187,7 @@ def k05(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _METRICS = "SELECT DISTINCT o_custkey AS job_id, o_orderstatus AS job_sheet, o_orderpriority AS metric FROM orders"
-_UPCOLS = "SELECT DISTINCT o_custkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS upload_sheet, o_orderpriority AS metric FROM orders WHERE o_totalprice > 400000"
+_UPCOLS = "SELECT DISTINCT CASE WHEN o_totalprice > 400000 THEN o_custkey ELSE -o_custkey END AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS upload_sheet, o_orderpriority AS metric FROM orders"
 
 
 @query("k06_skip_reasons", ctes(js=_JOB_SHEETS, us=_UPLOAD_SHEETS, pairs=PAIRS, m=_METRICS, uc=_UPCOLS) + """
@@ -193,8 +199,8 @@ def k06(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     jobs, ups = _sheets(spark, sf)
     metrics = o.select(F.col("o_custkey").alias("job_id"), F.col("o_orderstatus").alias("job_sheet"), F.col("o_orderpriority").alias("metric")).distinct()
-    columns = o.where("o_totalprice > 400000").select(
-        F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("upload_sheet"), F.col("o_orderpriority").alias("metric"))
+    columns = o.select(
+        _uploaded(400000), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("upload_sheet"), F.col("o_orderpriority").alias("metric"))
     return R.skip_reasons(metrics, R.pair_sheets(jobs, ups), columns)
 
 
@@ -211,13 +217,14 @@ def k08(spark: SparkSession, sf: str) -> DataFrame:
     return R.newest_evaluations(load(spark, sf, "evaluations")).select("id", *RUN, "matched_points", F.round("wmape", 6).alias("wmape"), "created_at")
 
 
-@query("k09_awaiting_view", ctes("stored_records", "evaluations", ev="SELECT * REPLACE ('quantity' AS metric_name) FROM evaluations WHERE sheet_name <> 'sheet_R'", n=NEWEST.replace("FROM evaluations", "FROM ev")) + """
+@query("k09_awaiting_view", ctes("stored_records", "evaluations", ev="SELECT * REPLACE ('quantity' AS metric_name, CASE WHEN sheet_name = 'sheet_R' THEN 'sheet_gone' ELSE sheet_name END AS sheet_name) FROM evaluations", n=NEWEST.replace("FROM evaluations", "FROM ev")) + """
 SELECT f.job_id, f.sheet_name, f.metric_name, CAST(f.n AS BIGINT) AS forecast_points, forecast_start, forecast_end, CASE WHEN n.id IS NULL THEN 'awaiting_actuals' WHEN matched_points <= 0 THEN 'no_overlap'
   WHEN matched_points >= f.n THEN 'complete' ELSE 'partial' END AS status, round(CASE WHEN matched_points > 0 THEN n.wmape END, 6) AS wmape, CASE WHEN matched_points > 0 THEN matched_points END AS matched_points
 FROM (SELECT job_id, sheet_name, metric_name, COUNT(*) AS n, MIN(ds) AS forecast_start, MAX(ds) AS forecast_end FROM stored_records WHERE forecast IS NOT NULL GROUP BY 1, 2, 3) f
 LEFT JOIN n ON n.job_id = f.job_id AND n.sheet_name = f.sheet_name AND n.metric_name = f.metric_name""")
 def k09(spark: SparkSession, sf: str) -> DataFrame:
-    ev = load(spark, sf, "evaluations").where("sheet_name <> 'sheet_R'").withColumn("metric_name", F.lit("quantity")).drop("forecast_points")
+    ev = load(spark, sf, "evaluations").withColumn("metric_name", F.lit("quantity")).drop("forecast_points").withColumn(
+        "sheet_name", F.when(F.col("sheet_name") == "sheet_R", "sheet_gone").otherwise(F.col("sheet_name")))
     return R.realized_view(R.forecast_series(_records(spark, sf)), ev).withColumn("wmape", F.round("wmape", 6))
 
 

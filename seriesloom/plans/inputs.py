@@ -129,7 +129,7 @@ INPUTS: dict[str, str] = {
                CASE WHEN SUM(l_quantity) > 45 THEN NULL ELSE SUM(l_quantity) END AS forecast,
                CASE WHEN SUM(l_quantity) > 45 THEN SUM(l_quantity) ELSE NULL END AS train_actual
         FROM {lineitem} GROUP BY l_orderkey, l_returnflag, CAST(l_shipdate AS DATE)""",
-    # up to three edits per stored run, in sequence
+    # up to three edits per stored run, in sequence; those of finished lines belong to runs that are not stored
     "stored_edits": """
         SELECT job_id, sheet_name, metric_name, sequence_no,
                CASE sequence_no WHEN 1 THEN 'scale_range' WHEN 2 THEN 'clip_bounds' ELSE 'set_value_range' END AS operation_type,
@@ -140,16 +140,25 @@ INPUTS: dict[str, str] = {
                CASE WHEN job_id % 3 = 0 THEN DATE '1997-01-01' ELSE NULL END AS date_from,
                CASE WHEN job_id % 5 = 0 THEN DATE '2000-06-30' ELSE NULL END AS date_to,
                sequence_no = 3 AS weekend_only
-        FROM (SELECT l_orderkey AS job_id, concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
+        FROM (SELECT CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE -l_orderkey END AS job_id,
+                     concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
                      CAST((l_linenumber % 3) + 1 AS INT) AS sequence_no
-              FROM {lineitem} WHERE l_linestatus = 'O'
-              GROUP BY l_orderkey, l_returnflag, (l_linenumber % 3) + 1) AS e""",
-    # what arrived later, for most of the stored forecasts
+              FROM {lineitem}
+              GROUP BY CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE -l_orderkey END, l_returnflag,
+                       (l_linenumber % 3) + 1) AS e""",
+    # what arrived later: for the stored forecasts of finished lines, and for runs that are not stored
     "arrived_actuals": """
-        SELECT l_orderkey AS job_id, concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
+        SELECT CASE WHEN l_linestatus = 'F' THEN l_orderkey ELSE -l_orderkey END AS job_id,
+               concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
                l_orderkey * 8 + l_linenumber AS row_no, CAST(l_shipdate AS DATE) AS ds,
                CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 17 = 0 THEN -l_tax ELSE l_quantity * (1.0 - l_tax) END AS y
-        FROM {lineitem} WHERE l_linestatus = 'F'""",
+        FROM {lineitem}""",
+    # forecasts as they were stored, several a day, in the order of row_no
+    "forecast_log": """
+        SELECT l_suppkey AS job_id, concat('sheet_', l_returnflag) AS sheet_name, 'quantity' AS metric_name,
+               l_orderkey * 8 + l_linenumber AS row_no, l_shipdate AS ds,
+               CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS forecast
+        FROM {lineitem}""",
     # edit requests as free text
     "edit_requests": """
         SELECT event_id AS request_id,

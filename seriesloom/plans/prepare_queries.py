@@ -372,9 +372,9 @@ def c18(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c19_align_covariates", ctes("supplier_daily", x="""
-  SELECT concat('S', CAST(l_suppkey AS STRING)) AS series_id, 'discount' AS x_name, CAST(l_shipdate AS DATE) AS ds, MAX(l_discount) AS y
-  FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 3 UNION ALL
-  SELECT concat('S', CAST(l_suppkey AS STRING)), 'tax', CAST(l_shipdate AS DATE), MAX(l_tax) FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 3""") + """
+  SELECT concat('S', CAST(l_suppkey AS STRING)) AS series_id, CASE WHEN l_linenumber % 2 = 1 THEN 'discount' ELSE 'tax' END AS x_name,
+    CAST(l_shipdate AS DATE) AS ds, MAX(CASE WHEN l_linenumber % 2 = 1 THEN l_discount ELSE l_tax END) AS y
+  FROM lineitem GROUP BY 1, 2, 3""") + """
 SELECT d.series_id, n.x_name, d.ds, round(coalesce(last_value(x.y IGNORE NULLS) OVER (PARTITION BY d.series_id, n.x_name ORDER BY d.ds
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 4) AS x
 FROM supplier_daily d JOIN (SELECT DISTINCT series_id, x_name FROM x) n ON n.series_id = d.series_id
@@ -382,9 +382,10 @@ LEFT JOIN x ON x.series_id = d.series_id AND x.x_name = n.x_name AND x.ds = d.ds
 def c19(spark: SparkSession, sf: str) -> DataFrame:
     from seriesloom.plans.inputs import table
     li = table(spark, sf, "lineitem")
-    name = F.when(F.col("l_linenumber") == 1, "discount").otherwise("tax")
-    value = F.when(F.col("l_linenumber") == 1, F.col("l_discount")).otherwise(F.col("l_tax"))
-    x = li.where("l_linenumber in (1, 2)").groupBy(
+    odd = F.col("l_linenumber") % 2 == 1
+    name = F.when(odd, "discount").otherwise("tax")
+    value = F.when(odd, F.col("l_discount")).otherwise(F.col("l_tax"))
+    x = li.groupBy(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("series_id"), name.alias("x_name"),
         F.col("l_shipdate").cast("date").alias("ds")).agg(F.max(value).alias("y"))
     return P.align_covariates(load(spark, sf, "supplier_daily"), x).withColumn("x", F.round("x", 4))
