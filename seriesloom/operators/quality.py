@@ -28,9 +28,6 @@ def _issue(when: Column, code: str, message: Column, severity: str = WARNING) ->
     ))
 
 
-DENSE_POINTS = 1_000_000
-
-
 def _gap() -> Column:
     return (micros(F.col("ds")) - micros(F.col("prev_ds"))) / F.lit(86_400_000_000.0)
 
@@ -56,25 +53,8 @@ def _gap_shape() -> list[Column]:
     ]
 
 
-def _measure_ordinary(series: DataFrame, test_window: int) -> DataFrame:
-    """Everything about series of at most DENSE_POINTS timestamps from one shuffle."""
-    whole, ordered = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("ds")
-    quarters = F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).over(whole)
-    rows = series.select(
-        *KEY, "ds", "y", F.lag("ds").over(ordered).alias("prev_ds"), F.row_number().over(ordered).alias("_no"),
-        F.count("*").over(whole).alias("_n"), F.min("ds").over(whole).alias("_start"), quarters.alias("_q"),
-    ).withColumn("upper", _upper(F.col("_q")[0], F.col("_q")[1]))
-    in_test = F.col("_no") > F.col("_n") - rules.holdout_size(F.col("_n"), test_window)
-    on_grid = micros_of_day(F.col("ds")) == micros_of_day(F.col("_start"))
-    return rows.groupBy(*KEY).agg(
-        *_shape(), *_gap_shape(), F.percentile(_gap(), F.lit(0.5)).alias("median_gap"), F.max("upper").alias("upper"),
-        F.count_if(F.col("y") > F.col("upper")).alias("outliers"), F.count(F.when(on_grid, F.col("y"))).alias("kept_on_grid"),
-        F.count_if(in_test & (F.col("y") != 0)).alias("scoreable"),
-    )
-
-
-def _measure_dense(series: DataFrame, test_window: int) -> DataFrame:
-    """The same measures for denser series, without sorting a series in one task."""
+def _measure(series: DataFrame, test_window: int) -> DataFrame:
+    """Everything about a series that needs its values, without sorting a series in one task."""
     key = list(KEY)
     shape = series.groupBy(*key).agg(*_shape())
     stepped = previous_reading(series, key, "ds", ["ds"]).where(F.col("prev_ds").isNotNull())
@@ -98,12 +78,11 @@ def _measure_dense(series: DataFrame, test_window: int) -> DataFrame:
     return shape.join(gaps, key, "left").join(middle, key, "left").join(counted, key).join(scoreable, key)
 
 
-def series_profile(readings: DataFrame, horizon: int, test_window: int, dense_points: int = DENSE_POINTS) -> DataFrame:
+def series_profile(readings: DataFrame, horizon: int, test_window: int) -> DataFrame:
     """One profile row per series from raw text readings (series_id, row_no, ds_raw, y_raw).
 
     Copies of a timestamp are merged before the shuffle, whose result is written once
-    to the checkpoint folder. Series are then measured by windows, except those with
-    more than ``dense_points`` timestamps, which take a path no single task dominates.
+    to the checkpoint folder. No task sorts a whole series, however dense it is.
     """
     key = list(KEY)
     typed = type_readings(readings)
@@ -117,16 +96,10 @@ def series_profile(readings: DataFrame, horizon: int, test_window: int, dense_po
         F.sum("_copies").alias("rows_total"), F.sum("_bad").alias("non_numeric_values"),
         F.coalesce(F.sum(F.when(~dated, F.col("_copies"))), F.lit(0)).alias("unparseable_dates"),
         F.coalesce(F.sum(F.when(dated, F.col("_copies") - 1)), F.lit(0)).alias("duplicate_timestamps"),
-        F.count("ds").alias("_timestamps"),
     )
     series = base.where(dated).select(*key, "ds", "y")
-    dense = counts.where(F.col("_timestamps") > dense_points).select(*key)
-    if dense.isEmpty():
-        measured = _measure_ordinary(series, test_window)
-    else:
-        measured = _measure_ordinary(series.join(dense, key, "left_anti"), test_window).unionByName(
-            _measure_dense(join_facts(series, dense, key, ["ds"]), test_window), allowMissingColumns=True)
-    joined = counts.drop("_timestamps").join(measured, key, "left")
+    measured = _measure(series, test_window)
+    joined = counts.join(measured, key, "left")
     span = F.floor((micros(F.col("end")) - micros(F.col("start"))) / 86_400_000_000).cast("int")
     ready = F.coalesce(F.col("usable_points"), F.lit(0)) >= rules.MIN_SERIES_POINTS
 
@@ -207,9 +180,9 @@ def series_issues(profile: DataFrame, horizon: int) -> DataFrame:
     return profile.withColumn("issues", F.array_compact(F.array(*issues)))
 
 
-def quality_report(readings: DataFrame, horizon: int, test_window: int, dense_points: int = DENSE_POINTS) -> DataFrame:
+def quality_report(readings: DataFrame, horizon: int, test_window: int) -> DataFrame:
     """Profile and issues of every series, one row each."""
-    return series_issues(series_profile(readings, horizon, test_window, dense_points), horizon)
+    return series_issues(series_profile(readings, horizon, test_window), horizon)
 
 
 def issue_rows(report: DataFrame) -> DataFrame:

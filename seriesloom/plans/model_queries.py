@@ -140,10 +140,12 @@ _RATIO = {"trend_strength": f"lag(y, 7) OVER {W} / (roll_mean_7 + 1e-6)", "volat
 
 
 @query("f12_ratios", STRICT_CTES.rstrip() + ", r AS (SELECT series_id, ds, roll_mean_7, roll_max_28, " + ", ".join(f"{e} AS {n}" for n, e in _RATIO.items()) + """ FROM s)
-SELECT series_id, ds, round(trend_strength, 4) AS trend_strength, round(volatility_ratio, 4) AS volatility_ratio, round(spike_ratio, 4) AS spike_ratio FROM r WHERE roll_mean_7 > 0 AND roll_max_28 > 0""")
+SELECT series_id, ds, """ + ", ".join(f"CASE WHEN abs({n}) > 100 THEN round(log10(abs({n})), 4) ELSE round({n}, 4) END AS {n}" for n in _RATIO) + " FROM r")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row; ratios over a vanishing statistic are huge and are compared by their magnitude."""
     made = X.ratios(X.strict_rolling_stats(filled(spark, sf)))
-    return rounded(made.where("roll_mean_7 > 0 and roll_max_28 > 0"), *_RATIO)
+    return made.select("series_id", "ds", *[
+        F.when(F.abs(n) > 100, F.round(F.log10(F.abs(n)), 4)).otherwise(F.round(n, 4)).alias(n) for n in _RATIO])
 
 
 @query("f13_univariate_frame", FILLED_CTES.rstrip() + ", r AS (SELECT series_id, ds, " + ", ".join(f"lag(y, {k}) OVER {W} AS lag_{k}" for k in X.LAGS) + f", {_stat('avg', 28)} AS roll_mean_28 FROM f)\nSELECT series_id, ds, "
@@ -282,6 +284,7 @@ def g07(spark: SparkSession, sf: str) -> DataFrame:
 @query("g08_harmonic_regression")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
     _, rows, wanted = setup(spark, sf)
+    wanted = S.days_ahead(rows, wanted)
     return _shown(S.paths_to_predictions(S.fit_harmonic(rows, wanted), wanted))
 
 

@@ -119,7 +119,7 @@ def b04(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("metric").agg(F.count("y_raw").alias("n"))
 
 
-_CATALOG = "SELECT DISTINCT concat('returns_', l_returnflag) AS sheet, concat('line_', CAST(l_linenumber AS STRING)) AS column_name FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linenumber > 4)"
+_CATALOG = "SELECT DISTINCT concat('returns_', l_returnflag) AS sheet, concat(CASE WHEN l_returnflag = 'R' AND l_linenumber > 4 THEN 'late_line_' ELSE 'line_' END, CAST(l_linenumber AS STRING)) AS column_name FROM lineitem"
 _ASKED_SHEETS = "SELECT concat('returns_', l_returnflag) AS sheet FROM lineitem UNION SELECT concat('status_', o_orderstatus) FROM orders"
 _ASKED_METRICS = "SELECT concat('line_', CAST(l_linenumber AS STRING)) AS metric FROM lineitem UNION SELECT concat('line_', o_orderstatus) FROM orders"
 
@@ -136,7 +136,9 @@ def b05(spark: SparkSession, sf: str) -> DataFrame:
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     returns = F.concat(F.lit("returns_"), "l_returnflag").alias("sheet")
     line = F.concat(F.lit("line_"), F.col("l_linenumber").cast("string"))
-    catalog = li.where(~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 4))).select(returns, line.alias("column_name")).distinct()
+    # columns of returned items over number 4 go by another name
+    other = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 4)
+    catalog = li.select(returns, F.when(other, F.concat(F.lit("late_"), line)).otherwise(line).alias("column_name")).distinct()
     sheets = li.select(returns).union(o.select(F.concat(F.lit("status_"), "o_orderstatus")))
     metrics = li.select(line.alias("metric")).union(o.select(F.concat(F.lit("line_"), "o_orderstatus")))
     return T.selection_report(catalog, sheets, metrics).select("sheet", "metric", "message")

@@ -62,21 +62,30 @@ def compare(spark, actual: dict, forecast: dict):
     return R.compare(f, a, ["k"]).collect()[0]
 
 
-def test_realized_cases(spark):
-    r = compare(spark, {0: 100.0, 1: 200.0}, {0: 110, 1: 180})
-    assert (r["matched_points"], r["wmape"], r["mae"], r["bias"], r["actual_total"], r["forecast_total"]) == (2, pytest.approx(0.1), 15, pytest.approx(-10 / 300), 300, 290)
-    r = compare(spark, {0: 0.0, 1: 0.0}, {0: 5, 1: 5})
-    assert r["wmape"] is None and r["bias"] is None and r["mae"] == 5
-    r = compare(spark, {1: 10.0, 2: 20.0, 3: 30.0}, {0: 1, 1: 2, 2: 3})
-    assert [p["date"].day for p in r["points"]] == [2, 3] and r["status"] == "partial" and r["actuals_last_date"].day == 4
-    assert compare(spark, {0: 100.0, 1: None, 2: 100.0}, {0: 100, 1: 100, 2: 100})["matched_points"] == 2
-    r = compare(spark, {0: -10.0}, {0: 0})
-    assert r["actual_total"] == -10 and r["wmape"] == 1.0 and r["status"] == "complete"
-    r = compare(spark, {50: 1.0}, {0: 1})
-    assert r["status"] == "no_overlap" and r["mae"] is None and r["points"] == [] and r["actuals_last_date"] is not None
-    actual = dict(enumerate([90.0, 115, 125, 120, 150, 140, 170, 180, 170, 200])) | {i: 77.0 for i in (*range(-20, 0), *range(10, 15))}
-    r = compare(spark, actual, {i: 100 + 10 * i for i in range(10)})
-    assert (r["wmape"], r["mae"], r["bias"], r["status"]) == (pytest.approx(90 / 1460), 9.0, pytest.approx(-10 / 1460), "complete")
+def test_scores_over_shared_days(spark):
+    r = compare(spark, {0: 40.0, 1: 60.0}, {0: 50, 1: 45})
+    assert [r[k] for k in ("matched_points", "mae", "actual_total", "forecast_total")] == [2, 12.5, 100, 95]
+    assert (r["wmape"], r["bias"]) == (pytest.approx(0.25), pytest.approx(-0.05))
+    six = compare(spark, dict(enumerate([12.0, 18, 25, 31, 40, 44])) | {-3: 5.0, 8: 5.0}, dict(enumerate([10, 20, 30, 30, 40, 50])))
+    assert (six["status"], six["wmape"], six["mae"], six["bias"]) == ("complete", pytest.approx(16 / 170), pytest.approx(16 / 6), pytest.approx(10 / 170))
+
+
+def test_what_cannot_be_scored(spark):
+    unsold = compare(spark, {2: 0.0, 3: 0.0}, {2: 1, 3: 4})
+    assert (unsold["wmape"], unsold["bias"], unsold["mae"]) == (None, None, 2.5)
+    returned = compare(spark, {0: -3.0, 1: -5.0}, {0: 0, 1: 0})
+    assert (returned["actual_total"], returned["wmape"], returned["status"]) == (-8, 1.0, "complete")
+    assert compare(spark, {0: 5.0, 1: None, 2: None, 3: 8.0}, {0: 1, 1: 1, 2: 1, 3: 1})["matched_points"] == 2
+    later = compare(spark, {30: 2.0}, {0: 9, 1: 9})
+    assert (later["status"], later["mae"], later["points"]) == ("no_overlap", None, []) and later["actuals_last_date"] == D0 + dt.timedelta(30)
+    some = compare(spark, {3: 7.0, 4: 9.0, 9: 2.0}, {2: 5, 3: 6, 4: 8})
+    assert some["status"] == "partial" and [p["date"] for p in some["points"]] == [D0 + dt.timedelta(3), D0 + dt.timedelta(4)]
+
+
+def test_last_forecast_of_a_day_stays(spark):
+    rows = [(1, "s", "m", dt.datetime(2025, 1, 1, h), f) for h, f in ((0, 9.0), (12, 5.0), (18, None))]
+    got = R.forecast_series(spark.createDataFrame(rows, f"{K}, ds timestamp, forecast double")).collect()
+    assert [(r["ds"], r["forecast"]) for r in got] == [(D0, 5.0)]
 
 
 def test_pairing_and_adjusted_scores(spark):
@@ -147,6 +156,10 @@ def test_csv_encodings(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes(b"name,y\ncaf\xe9 \x81,4\n")
     got = {r["y"]: r["name"] for r in csvfiles.read_csv(spark, [str(tmp_path / n) for n in (*text, "latin.csv")]).collect()}
     assert got == {"1": "café", "2": "café", "3": "“café” – ok", "4": "café \x81"}
+    (tmp_path / "p.csv").write_text("date,qty,price\n1,7,200\n")
+    (tmp_path / "q.csv").write_text("price,date\n300,2\n")
+    rows = csvfiles.read_csv(spark, [str(tmp_path / "p.csv"), str(tmp_path / "q.csv")]).collect()
+    assert sorted((r["date"], r["qty"], r["price"]) for r in rows) == [("1", "7", "200"), ("2", None, "300")]
     with pytest.raises(ValueError, match="Unsupported file type"):
         csvfiles.read_dataset(spark, {"a": "x.json"})
 

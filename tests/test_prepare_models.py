@@ -219,3 +219,12 @@ def test_feature_screening(spark):
     # the target is an even function of the signal: no correlation, much information
     assert got["signal"]["mi"] > 10 * got["noise"]["mi"] and got["signal"]["importance"] > 0.9
     assert got["signal"]["kept"] and got["month_sin"]["kept"] and not got["noise"]["kept"]
+
+
+def test_harmonic_regression_forecasts_at_the_dates(spark):
+    first = dt.date(2023, 1, 2)
+    rows = spark.createDataFrame([("s", "test", first + dt.timedelta(i), 100.0 + i) for i in range(200)], "series_id string, kind string, ds date, y double")
+    weekly = [(k, first + dt.timedelta(199 + 7 * k)) for k in range(1, 6)]
+    wanted = S.days_ahead(rows, spark.createDataFrame([("s", "test", k, d) for k, d in weekly], "series_id string, kind string, step int, ds date"))
+    got = {r["step"]: r["yhat"] for r in S.paths_to_predictions(S.fit_harmonic(rows, wanted, cycles={}), wanted).collect()}
+    assert got == pytest.approx({k: 299.0 + 7 * k for k in range(1, 6)})

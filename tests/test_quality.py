@@ -35,27 +35,26 @@ SERIES = {
 def report(spark):
     rows = [(name, i, ds, y) for name, rows in SERIES.items() for i, (ds, y) in enumerate(rows)]
     readings = spark.createDataFrame(rows, "series_id string, row_no long, ds_raw string, y_raw string")
-    return {dense: {r["series_id"]: r for r in Q.quality_report(readings, 30, 30, dense).collect()} for dense in (10**6, 50)}
+    return {r["series_id"]: r for r in Q.quality_report(readings, 30, 30).collect()}
 
 
-@pytest.mark.parametrize("dense", [10**6, 50])
-def test_codes(report, dense):
-    got = {name: [i["code"] for i in r["issues"]] for name, r in report[dense].items()}
+def test_codes(report):
+    got = {name: [i["code"] for i in r["issues"]] for name, r in report.items()}
     assert got["n29"] == ["insufficient_history"] and "insufficient_history" not in got["n30"]
-    assert got["every3rd"] == ["insufficient_history"] and report[dense]["every3rd"]["usable_points"] == 26
-    assert report[dense]["n20"]["span_days"] == 19 and report[dense]["n20"]["test_split_size"] == 0
-    assert report[dense]["baddates"]["unparseable_dates"] == 2 and report[dense]["words"]["non_numeric_values"] == 3
-    assert report[dense]["repeats"]["duplicate_timestamps"] == 4
+    assert got["every3rd"] == ["insufficient_history"] and report["every3rd"]["usable_points"] == 26
+    assert report["n20"]["span_days"] == 19 and report["n20"]["test_split_size"] == 0
+    assert report["baddates"]["unparseable_dates"] == 2 and report["words"]["non_numeric_values"] == 3
+    assert report["repeats"]["duplicate_timestamps"] == 4
     assert got["clean"] == []
     assert "non_daily_frequency" in got["weekly"] and "date_gaps" not in got["weekly"]
-    assert report[dense]["weekly"]["imputed_share"] == pytest.approx(6 / 7, abs=0.01)
-    assert "one reading per day" in " ".join(i["message"] for i in report[dense]["hourly"]["issues"])
-    assert "date_gaps" in got["gap30"] and report[dense]["gap30"]["imputed_share"] == pytest.approx(0.15) and "date_gaps" not in got["gap10"]
-    assert report[dense]["negative"]["negative_values"] == 1
-    assert "will be clipped" in " ".join(i["message"] for i in report[dense]["spike"]["issues"])
-    assert "left as-is" in " ".join(i["message"] for i in report[dense]["tails"]["issues"])
-    assert report[dense]["flat"]["outliers"] == 0
-    assert "sparse_test_window" in got["quiet"] and report[dense]["quiet"]["test_split_size"] == 30
+    assert report["weekly"]["imputed_share"] == pytest.approx(6 / 7, abs=0.01)
+    assert "one reading per day" in " ".join(i["message"] for i in report["hourly"]["issues"])
+    assert "date_gaps" in got["gap30"] and report["gap30"]["imputed_share"] == pytest.approx(0.15) and "date_gaps" not in got["gap10"]
+    assert report["negative"]["negative_values"] == 1
+    assert "will be clipped" in " ".join(i["message"] for i in report["spike"]["issues"])
+    assert "left as-is" in " ".join(i["message"] for i in report["tails"]["issues"])
+    assert report["flat"]["outliers"] == 0
+    assert "sparse_test_window" in got["quiet"] and report["quiet"]["test_split_size"] == 30
     assert "short_history" in got["baddates"] and "short_history" not in got["n120"]
 
 
@@ -76,12 +75,3 @@ def test_gate(spark):
     assert Q.report_gate(report.limit(0), none).collect()[0]["has_blocking"] is True
     groups = Q.group_issues(report, none.unionByName(spark.createDataFrame([("c", "warning", "m")], none.schema))).collect()
     assert {(g["severity"], g["label"]): g["issues"] for g in groups} == {("blocking", "n29"): 1, ("warning", None): 1}
-
-
-def test_both_paths_agree(report):
-    keep = [f for f in report[50]["clean"].asDict() if f not in ("issues", "median_gap", "skew", "imputed_share", "upper")]
-    for name in SERIES:
-        a, b = report[10**6][name], report[50][name]
-        assert [a[f] for f in keep] == [b[f] for f in keep], name
-        for f in ("median_gap", "skew", "imputed_share", "upper"):
-            assert a[f] == (None if b[f] is None else pytest.approx(b[f])), (name, f)

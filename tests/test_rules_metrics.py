@@ -11,25 +11,27 @@ from pyspark.sql import functions as F
 from seriesloom.functions import rules
 from seriesloom.operators import demand as D, metrics as M, select as S
 
-NS = [0, 1, 14, 15, 29, 30, 34, 35, 36, 46, 47, 60, 99, 100, 150, 365, 730, 2000]
+# (value, setting, result): one below, on and one above the places where a rule changes, worked out by hand.
+HOLDOUT = [(10, 3, 7), (39, 20, 7), (40, 20, 8), (44, 20, 8), (94, 20, 18), (95, 20, 19), (105, 20, 20), (106, 20, 20), (1245, 250, 249), (1255, 250, 250)]
+HORIZON = [(5, 9, 9), (5, 40, 14), (48, 40, 14), (51, 40, 15), (54, 40, 16), (131, 40, 39), (137, 40, 40), (138, 40, 40), (4000, 9, 9)]
+OVERLAP = [(2, 7), (22, 7), (25, 7), (28, 8), (31, 9), (44, 13), (201, 60)]
 
 
-@pytest.mark.parametrize("window", [7, 8, 14, 30, 60, 90, 180])
-def test_holdout(spark, window):
-    got = spark.createDataFrame([(n,) for n in NS], "n int").select("n", rules.holdout_size(F.col("n"), window)).collect()
-    assert all(v == max(7, min(window, int(0.2 * n))) for n, v in got)
+def test_holdout(spark):
+    table = spark.createDataFrame(HOLDOUT, "n int, w int, want int")
+    for window in {w for _, w, _ in HOLDOUT}:
+        assert all(r["got"] == r["want"] for r in table.where(F.col("w") == window).withColumn("got", rules.holdout_size(F.col("n"), window)).collect())
 
 
-@pytest.mark.parametrize("horizon", [1, 7, 14, 15, 30, 60, 180, 365])
-def test_horizon(spark, horizon):
-    got = spark.createDataFrame([(n,) for n in NS], "n int").select("n", rules.effective_horizon(F.col("n"), horizon)).collect()
-    assert all(v == min(horizon, max(14, int(0.3 * n))) for n, v in got)
+def test_horizon(spark):
+    table = spark.createDataFrame(HORIZON, "n int, h int, want int")
+    for horizon in {h for _, h, _ in HORIZON}:
+        assert all(r["got"] == r["want"] for r in table.where(F.col("h") == horizon).withColumn("got", rules.effective_horizon(F.col("n"), horizon)).collect())
 
 
 def test_overlap(spark):
-    splits = [0, 1, 7, 10, 23, 24, 30, 60, 180]
-    got = spark.createDataFrame([(n,) for n in splits], "n int").select("n", rules.min_test_overlap(F.col("n"))).collect()
-    assert all(v == max(7, int(0.3 * n)) for n, v in got)
+    table = spark.createDataFrame(OVERLAP, "n int, want int").withColumn("got", rules.min_test_overlap(F.col("n")))
+    assert all(r["got"] == r["want"] for r in table.collect())
 
 
 def pairs(spark, cases: dict[str, tuple[list, list]]):
@@ -39,21 +41,18 @@ def pairs(spark, cases: dict[str, tuple[list, list]]):
 
 def test_metric_cases(spark):
     table = pairs(spark, {
-        "perfect": ([10.0] * 10, [10.0] * 10), "zeros": ([0.0] * 10, [1.0] * 10), "off_one": ([1.0, 2.0, 3.0], [2.0, 3.0, 4.0]),
-        "huge": ([0.0] * 10, [1000.0] * 10), "turned": ([float(i) for i in range(10)], [float(9 - i) for i in range(10)]),
-        "gap": ([1.0, None, 3.0], [1.0, 5.0, 3.0]), "single": ([4.0], [4.0]),
+        "same": ([3.0, 8.0, 5.0], [3.0, 8.0, 5.0]), "unsold": ([0.0] * 4, [2.0] * 4), "mixed": ([4.0, 6.0, 10.0], [5.0, 4.0, 13.0]),
+        "far": ([1.0, 1.0], [500.0, 500.0]), "level": ([2.0, 4.0, 6.0, 8.0], [8.0] * 4), "hole": ([6.0, None, 2.0], [6.0, 3.0, 2.0]), "one": ([9.0], [3.0]),
     })
     std = table.select("series_id").distinct().withColumn("train_std", F.lit(1.0))
     got = {r["series_id"]: r for r in M.score_pairs(table, ["series_id"], std).collect()}
-    perfect = got["perfect"]
-    assert (perfect["wmape"], perfect["rmse"], perfect["mape"], perfect["accuracy"], perfect["composite_score"]) == (0, 0, 0, 100, 0)
-    assert got["zeros"]["wmape"] > 1e6 and got["zeros"]["mape"] is None
-    assert got["off_one"]["rmse"] == pytest.approx(1.0)
-    assert got["huge"]["accuracy"] == 0
-    assert got["turned"]["trend_error"] == pytest.approx(2 / 4.5)
-    # a missing actual counts as zero in wmape and leaves mae and rmse undefined
-    assert got["gap"]["wmape"] == pytest.approx(5 / 4) and got["gap"]["mae"] is None and got["gap"]["rmse"] is None
-    assert got["single"]["trend_error"] == 0
+    assert [got["same"][k] for k in ("wmape", "rmse", "mape", "accuracy")] == [0, 0, 0, 100]
+    assert got["unsold"]["mape"] is None and got["unsold"]["wmape"] > 1e6
+    assert got["mixed"]["wmape"] == pytest.approx(0.3) and got["mixed"]["mae"] == pytest.approx(2) and got["mixed"]["rmse"] == pytest.approx((14 / 3) ** 0.5)
+    assert got["far"]["accuracy"] == 0
+    assert got["level"]["trend_error"] == pytest.approx(2 / 5)  # slopes 2 and 0, mean 5
+    assert got["hole"]["wmape"] == pytest.approx(3 / 8) and got["hole"]["mae"] is None and got["hole"]["rmse"] is None
+    assert got["one"]["trend_error"] == 0
 
 
 def test_variance_penalty(spark):
