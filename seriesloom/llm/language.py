@@ -37,43 +37,49 @@ class Model:
                     table.setdefault(g, [penalty] * len(self.languages))[k] = total - log10(c)
             self.tables.append(table)
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[float]:
         """Its negative log frequency by language; for an unknown word the mean over its known n-grams of the
         greatest n that has any; not a number if nothing is known."""
         if word in self.tables[0]:
-            return np.array(self.tables[0][word])
+            return self.tables[0][word]
         padded = f" {word} "
         for n in range(self.longest, 0, -1):
             table = self.tables[n]
-            found = [table[g] for g in (padded[i:i + n] for i in range(len(padded) - n + 1)) if g in table]
+            found = [table[g] for g in [padded[i:i + n] for i in range(len(padded) - n + 1)] if g in table]
             if found:
-                return np.mean(found, axis=0)
-        return np.full(len(self.languages), np.nan)
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [float("nan")] * len(self.languages)
 
 
 class Scorer(dict):
-    """Row numbers of words in a table of their scores, which grows with the words met and starts anew when full."""
+    """Row numbers of words in a table of their scores, which grows with the words met. When it is full, words
+    that were not met since it last filled up are forgotten."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, np.empty((1024, len(model.languages)))
+        self.model, self.rows = model, np.empty((REMEMBERED + 1, len(model.languages)))
+        self.before: dict[str, int] = {}
+        self.rows_before = self.rows
 
     def __missing__(self, word: str) -> int:
         k = len(self)
-        if k == len(self.rows):
+        if k == len(self.rows):  # one text of very many words
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = self.model.word(word)
+        old = self.before.get(word)
+        self.rows[k] = self.model.word(word) if old is None else self.rows_before[old]
         self[word] = k
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if len(self) > REMEMBERED:
+            self.before, self.rows_before = dict(self), self.rows
+            self.rows = np.empty((REMEMBERED + 1, len(self.model.languages)))
             self.clear()
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
-        at = [self[w] for w in words]
-        rows = self.rows[at]
-        known = rows[~np.isnan(rows[:, 0])]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        known = self.rows[at]
+        known = known[~np.isnan(known[:, 0])]
         if not len(known):
             return self.model.languages[0], 1 / len(self.model.languages)
         mean = known.mean(axis=0)
