@@ -4,12 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 
 import numpy as np
-
-assert sys.byteorder == "little" and array("I").itemsize == 4
 VOCABULARIES = "/opt/tokenizers"
 CACHED_WORDS = 300_000
 
@@ -25,8 +21,8 @@ class Encoder(dict):
     """Text to ids as little-endian unsigned 32-bit integers, exactly as the tokenizer gives them.
 
     Both vocabularies merge inside words only. So a text of plain Latin characters is split by the
-    tokenizer's pattern and each distinct word is encoded once, as long as it is remembered; any other
-    text goes to the tokenizer whole.
+    tokenizer's pattern and each distinct word is encoded once, as long as it is remembered: words that
+    were not met since the memory last filled up are forgotten. Any other text goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, kind: str):
@@ -34,19 +30,41 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower, self.words = kind == "word", _SPLIT[kind].findall
+        # Between new words that are encoded together: a word of one id that no other word holds.
+        self.between, self.apart = (" 0 ", "0".__eq__) if self.lower else ("\n", str.isspace)
+        (self.mark,) = self._encode(self.between)
+        self.before: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._encode(text).tobytes()
+        if len(self) > CACHED_WORDS:
+            self.before = dict(self)
+            self.clear()
         words = self.words(text.lower() if self.lower else text)
         new = [w for w in set(words) if w not in self]
         if new:
-            if len(self) > CACHED_WORDS:
-                self.clear()
-                new = list(set(words))
-            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[word] = array("I", code.ids).tobytes()
-        return b"".join([self[w] for w in words])
+            self._learn(new)
+        return b"".join(map(self.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        joined = []
+        for w in words:
+            if w in self.before:
+                self[w] = self.before[w]
+            elif self.apart(w):
+                self[w] = self._encode(w).tobytes()
+            else:
+                joined.append(w)
+        ids = self._encode(self.between.join(joined))
+        ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(joined, ends, strict=bool(joined)):
+            self[w] = raw[start:end]
+            start = end + 4
 
 
 def encoder(file: str, kind: str, folder: str = VOCABULARIES) -> Encoder:
