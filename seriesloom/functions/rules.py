@@ -11,6 +11,11 @@ HOLDOUT_SHARE = 0.20
 MIN_HORIZON_CAP = 14
 HORIZON_SHARE = 0.30
 MIN_OVERLAP = 7
+SPARSE_ZERO_RATIO = 0.70
+SPARSE_MEAN = 5
+LOW_VOLUME_MEAN = 10
+RARE_ZERO_RATIO = 0.80
+UNSTABLE_CV = 1.5
 OVERLAP_SHARE = 0.3
 MIN_SPLIT_POINTS = 15
 MIN_MODEL_POINTS = 90

@@ -90,6 +90,11 @@ def revert_latest(edits: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return edits.withColumn("_newest", newest).where(F.col("sequence_no") < F.col("_newest")).drop("_newest")
 
 
+# Reasons whose wording must match.
+BAD_WEEKDAYS = "days_of_week values must be 0-6"
+BAD_BOUNDS = "max_value must be >= min_value"
+
+
 def validate(requests: DataFrame, text: str = "raw_text") -> DataFrame:
     """Parse edit requests: adds ``op`` (typed struct) or ``rejected`` (the reason).
 
@@ -116,10 +121,10 @@ def validate(requests: DataFrame, text: str = "raw_text") -> DataFrame:
         .when(kind == "none", "not a forecast edit")
         .when(kind.isNull() | ~kind.isin(*OPERATIONS), "unknown operation type")
         .when(unread, "unreadable parameter")
-        .when(bad_dow, "days_of_week values must be 0-6")
+        .when(bad_dow, BAD_WEEKDAYS)
         .when((kind == "set_value_range") & number["value"].isNull(), "value is required")
         .when((kind == "scale_range") & number["scale_pct"].isNull(), "scale_pct is required")
-        .when((kind == "clip_bounds") & (number["max_value"] < number["min_value"]), "max_value must be >= min_value")
+        .when((kind == "clip_bounds") & (number["max_value"] < number["min_value"]), BAD_BOUNDS)
     )
     op = F.struct(
         kind.alias("operation_type"), *[c.alias(n) for n, c in number.items()],

@@ -75,7 +75,7 @@ def _plural(n: str, word: str) -> str:
 PCT = "concat(CAST(CAST(round_even(imputed_share * 100, 0) AS INT) AS STRING), '%')"
 MONEY = "format('{:,.2f}', upper)"
 NEEDED = "greatest(7, CAST(floor(0.3 * split) AS INT))"
-# per code: condition, message, severity
+# Codes and message texts. Per code: condition, message, severity.
 ISSUES = {
     "d02_insufficient_history": ("insufficient_history", "NOT ready", f"concat('Only ', {_plural('usable', 'usable data point')}, '; at least 30 are needed to train and test a model.')", "blocking"),
     "d03_unparseable_dates": ("unparseable_dates", "unparseable_dates > 0", f"concat({_plural('unparseable_dates', 'row')}, ' with a missing or unreadable date will be dropped.')", "warning"),
