@@ -17,6 +17,7 @@ VECTOR = pa.schema([("vec_id", pa.int64()), ("x", pa.binary()), ("norm", pa.floa
 EXACT = 2.0**53  # sums of integers below this are exact in doubles
 LEAST, MOST = -(2**63), 2**63 - 1
 ROWS = 512  # candidates that are bounded together
+DENSE = 0.02  # share of pairs from which on all are multiplied at once
 
 
 def integer_vectors(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -97,14 +98,22 @@ def scan(best: Best, q: np.ndarray, q_turned: np.ndarray, vec_id: np.ndarray, x:
         if not len(active):
             return
         need = best.least[active] - slack[active]
-        part = q_turned[active, :steps[0]] @ x_turned[rows, :steps[0]].T
-        a, b = np.nonzero(part + q_rest[1, active][:, None] * x_rest[1, rows][None, :] >= need[:, None])
+        # All pairs while many are left, then pair by pair.
+        part = np.zeros((len(active), len(rows)))
+        done = 0
+        for k, e in enumerate(steps):
+            part += q_turned[active, done:e] @ x_turned[rows, done:e].T
+            done = e
+            may = part + np.outer(q_rest[k + 1, active], x_rest[k + 1, rows]) >= need[:, None]
+            if may.sum() < DENSE * may.size:
+                break
+        a, b = np.nonzero(may)
         part = part[a, b]
-        for k in range(1, len(steps)):
+        for k in range(k + 1, len(steps)):
             s, e = steps[k - 1], steps[k]
             part = part + np.einsum("ij,ij->i", q_turned[active[a], s:e], x_turned[rows[b], s:e])
-            may = part + q_rest[k + 1, active[a]] * x_rest[k + 1, rows[b]] >= need[a]
-            a, b, part = a[may], b[may], part[may]
+            still = part + q_rest[k + 1, active[a]] * x_rest[k + 1, rows[b]] >= need[a]
+            a, b, part = a[still], b[still], part[still]
         other = best.ids[active[a]] != vec_id[rows[b]]
         a, b = active[a[other]], rows[b[other]]
         for c in range(0, len(a), 1 << 16):
@@ -128,7 +137,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int
     turn = rotation(index, width)
     longest = index.orderBy(F.desc("norm"), "vec_id").limit(lead).collect()
     lead_x, lead_id = matrix([r.x for r in longest], width), np.array([r.vec_id for r in longest], dtype=np.int64)
-    steps = sorted({max(1, width // 8), max(1, width // 4), max(1, width // 2)})
+    steps = sorted({max(1, width // 4), max(1, width // 2), max(1, 3 * width // 4), width})
 
     def answers(rows: list) -> DataFrame:
         ids = np.array([r.vec_id for r in rows], dtype=np.int64)
