@@ -11,13 +11,13 @@ CACHED_WORDS = 300_000
 
 _PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ſ]|İ")
 _SPLIT = {  # the tokenizers' own word patterns, for texts of plain characters only
-    "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"),
-    "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~]+"),
+    "byte": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"),
+    "word": re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~]+"),
 }
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-class Encoder(dict):
+class Encoder:
     """Text to ids as little-endian unsigned 32-bit integers, exactly as the tokenizer gives them.
 
     Both vocabularies merge inside words only. So a text of plain Latin characters is split by the
@@ -33,6 +33,7 @@ class Encoder(dict):
         # Between new words that are encoded together: a word of one id that no other word holds.
         self.between, self.apart = (" 0 ", "0".__eq__) if self.lower else ("\n", str.isspace)
         (self.mark,) = self._encode(self.between)
+        self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
@@ -41,29 +42,28 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return self._encode(text).tobytes()
-        if len(self) > CACHED_WORDS:
-            self.before = dict(self)
-            self.clear()
+        if len(self.known) > CACHED_WORDS:
+            self.before, self.known = self.known, {}
         words = self.words(text.lower() if self.lower else text)
-        new = [w for w in set(words) if w not in self]
+        new = set(words).difference(self.known)
         if new:
             self._learn(new)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         joined = []
         for w in words:
             if w in self.before:
-                self[w] = self.before[w]
+                self.known[w] = self.before[w]
             elif self.apart(w):
-                self[w] = self._encode(w).tobytes()
+                self.known[w] = self._encode(w).tobytes()
             else:
                 joined.append(w)
         ids = self._encode(self.between.join(joined))
         ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
         raw, start = ids.tobytes(), 0
         for w, end in zip(joined, ends, strict=bool(joined)):
-            self[w] = raw[start:end]
+            self.known[w] = raw[start:end]
             start = end + 4
 
 
