@@ -43,6 +43,13 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(n).to_pylist() for n in names]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of ``size`` rows; one empty batch if there are none."""
     empty = True

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from seriesloom.llm.common import columns, in_batches, load
+from seriesloom.llm.common import columns, in_batches, load, sliced
 from seriesloom.llm.registry import query
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Model:
@@ -141,7 +141,7 @@ def identify(df: DataFrame, model: Model, records: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             kept = batch.column(0)
             text = kept.field("text") if records else batch.column("text")
             told = [scorer.predict(t) for t in text.to_pylist()]

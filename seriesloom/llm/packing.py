@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns, in_batches, load, stored
+from seriesloom.llm.common import columns, in_batches, load, sliced, stored
 from seriesloom.llm.registry import query
 from seriesloom.llm.tokens import encoder
 
@@ -139,7 +139,7 @@ def tokenized(df: DataFrame, file: str, kind: str, end: int) -> DataFrame:
         ids = encoder(file, kind).ids
 
         def rows():
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc, text in zip(*columns(batch, "doc_id", "text")):
                     yield doc, ids(text or "") + last
         yield from in_batches(rows(), schema, 500)

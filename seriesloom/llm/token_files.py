@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns, file_system, in_batches, load, stored
+from seriesloom.llm.common import columns, file_system, in_batches, load, sliced, stored
 from seriesloom.llm.registry import query
 from seriesloom.llm.tokens import encoder
 from seriesloom.session import scratch_folder
@@ -154,7 +154,7 @@ def write_token_files(df: DataFrame, folder: str, file: str, kind: str, end: int
             encode = encoder(file, kind)
             small = width == 2 and encode.tokenizer.get_vocab_size() <= 1 << 16
             part, out = TaskContext.get().partitionId(), None
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc, text in zip(*columns(batch, "doc_id", "text")):
                     if out is None:
                         fs, path = file_system(f"{folder}/part-{part:06d}.ids")

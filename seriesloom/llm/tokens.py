@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 VOCABULARIES = "/opt/tokenizers"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 _PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ſ]|İ")
 _SPLIT = {  # the tokenizers' own word patterns, for texts of plain characters only
