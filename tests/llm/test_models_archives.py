@@ -96,6 +96,45 @@ def test_leaks_find_copies_and_edited_copies_only(spark):
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
+def spoiled(words, every, kind):
+    """Every so many words, one is replaced, left out or followed by a new one."""
+    out = []
+    for i, w in enumerate(words):
+        here = i % every == every - 1
+        out += [] if here and kind == "less" else [f"new{i}"] if here and kind == "other" else [w, f"new{i}"] if here else [w]
+    return out
+
+
+@pytest.mark.parametrize("least", [0.5, 0.3, 0.7])
+def test_leaks_equal_brute_alignment_under_regular_edits(spark, least):
+    rng = random.Random(5)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(200)]
+    text = lambda n: [rng.choice(common if rng.random() < 0.4 else rare) for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate([8, 13, 20, 30, 45])]
+    docs = [(900 + k, w) for k, w in items[:3]]  # whole copies elsewhere
+    for k, words in items:
+        for every in (1, 2, 3, 4, 5):
+            for kind in ("other", "less", "more"):
+                docs.append((len(docs), text(rng.choice([0, 3, 400])) + spoiled(words, every, kind) + text(rng.choice([0, 50]))))
+    want = {}
+    for d, words in docs:
+        for k, item in items:
+            number = {w: i for i, w in enumerate(dict.fromkeys(words + item))}
+            a, b = np.array([number[w] for w in item]), np.array([number[w] for w in words] or [-1])
+            score, _ = leaks.align(a, b)
+            if score >= least * 2 * len(item):
+                want[d, k] = score / (2 * len(item))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = leaks.find_leaks(df, it, least=least).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want) > 30
+    texts, of = dict(docs), dict(items)
+    for r in got:  # the passage named holds the score
+        number = {w: i for i, w in enumerate(dict.fromkeys(texts[r.doc_id] + of[r.item_id]))}
+        a, b = ([number[w] for w in x] for x in (of[r.item_id], texts[r.doc_id][r.start_word:r.end_word]))
+        assert leaks.align(np.array(a), np.array(b))[0] == round(r.score * 2 * len(a))
+
+
 @pytest.mark.parametrize("kind", ["small", "huge", "hot"])
 def test_search_equals_brute_force(spark, kind):
     rng = np.random.default_rng(7)
