@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import (BYTE_VALUES, U64, columns, in_batches, load, mix64, powers, prefix_hash, signed, span_hash,
+from seriesloom.llm.common import (BYTE_VALUES, U64, columns, in_batches, load, mix64, powers, prefix_hash, signed, sliced, span_hash,
                                    stored, texts)
 from seriesloom.llm.registry import query
 from seriesloom.llm.suffix_sort import suffix_array
 
 BLOCK = 8  # bytes of a symbol
 PIECE_STARTS = 1 << 20  # window starts of a text that are looked at together
-SORT_BYTES = 1 << 20  # of pieces that are sorted together, unless one group is larger
+SORT_BYTES = 1 << 20  # of pieces that are sorted together; the pieces under a key that has more are cut further
+SHORTER = 8  # times, the pieces of such a key
 
 ANCHOR = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()),
                     ("off", pa.int32()), ("n", pa.int32())])
@@ -141,6 +142,21 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
+def pieces_of(data: bytes, h: int, off: int, n: int, length: int, chunk: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """Cuts ``n`` window starts from the first byte of ``data`` on, whose anchor ``h`` lies ``off`` bytes after it, where the
+    distance to the anchor is a multiple of ``chunk``. For each piece: hashes of the bytes that all its windows share and of
+    its own, offset of the anchor, first start, number of starts and bytes."""
+    end = n
+    while end > 0:
+        nearest = off - (end - 1)
+        c = nearest // chunk
+        begin = max(end - 1 - (chunk * (c + 1) - 1 - nearest), 0)
+        core = data[off - chunk * c:off - chunk * (c + 1) + 1 + length]
+        piece = data[begin:end - 1 + length]
+        yield _hash_of(core, h, c), _hash_of(piece, off - begin), off - begin, begin, end - begin, piece
+        end = begin
+
+
 def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
     """One row per row of ``df`` (``doc_id``, ``text``): ``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs
     [start, end) of UTF-8 bytes) and ``kept`` (the other bytes). A byte goes if a string of ``length`` bytes that
@@ -150,10 +166,12 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
        windows of one anchor form a slice of the text. Slices whose anchor occurs once hold no repeat; of
        equal slices, all windows repeat, and one of them stands for all.
     2. Different slices of one anchor are cut into pieces of a few window starts, keyed by the bytes that all
-       windows of the piece share. Keys that occur once hold no repeat.
+       windows of the piece share. Keys that occur once hold no repeat. Different pieces under one key of more than
+       ``SORT_BYTES`` are cut into shorter pieces with longer keys, in the end into single windows, whose keys are
+       equal only where they are; so a frequent string may have any number of different surroundings.
     3. The pieces under a key are suffix-sorted (:mod:`suffix_sort`) and windows that are neighbours in that
        order are compared whole. Sorting works on the pieces of some keys at a time, so its memory does not
-       grow with the corpus; a frequent string costs one piece for each different surrounding of it.
+       grow with the corpus.
     4. The ranges found are merged in each text.
 
     Null texts are empty; texts shorter than ``length`` stay whole. Every row is a text of its own, so rows
@@ -192,17 +210,9 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
                 (lists,) = columns(batch, "slices")
                 for wanted, text in zip(lists, texts(batch.column("text"))):
                     for s in wanted:
-                        end = s["n"]
-                        while end > 0:  # pieces end where the distance to the anchor is a multiple of the chunk
-                            nearest = s["off"] - (end - 1)
-                            c = nearest // chunk
-                            begin = max(end - 1 - (chunk * (c + 1) - 1 - nearest), 0)
-                            anchor = s["lo"] + s["off"]
-                            core = text[anchor - chunk * c:anchor - chunk * (c + 1) + 1 + length]
-                            data = text[s["lo"] + begin:s["lo"] + end - 1 + length]
-                            yield (_hash_of(core, s["h"], c), _hash_of(data, s["off"] - begin), s["h"], s["d"], s["copies"],
-                                   s["off"] - begin, begin, end - begin, data)
-                            end = begin
+                        data = text[s["lo"]:s["lo"] + s["n"] - 1 + length]
+                        for core, pd, off, begin, n, piece in pieces_of(data, s["h"], s["off"], s["n"], length, chunk):
+                            yield core, pd, s["h"], s["d"], s["copies"], off, begin, n, piece
         yield from in_batches(rows(), PIECE, 5000)
 
     by_text = (slices.where("mixed").groupBy("one.id", "one.th")
@@ -210,8 +220,17 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
     # One of several equal rows is enough, and a text is read once.
     pieces = stored(docs.join(by_text, docs.id.eqNullSafe(F.col("_id")) & (docs.th == F.col("_th")))
                     .select("slices", "text").mapInArrow(cut, ddl(PIECE)), "pieces")
-    cores = (pieces.groupBy("core").agg(F.sum("copies").alias("c"), F.min("pd").alias("x"), F.max("pd").alias("y"))
-             .where("c > 1").select("core", (F.col("x") != F.col("y")).alias("differ")))
+
+    def shorten(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows():
+                for batch in sliced(batches):
+                    for r in batch.to_pylist():
+                        for core, pd, off, begin, n, piece in pieces_of(r["data"], r["h"], r["off"], r["n"], length, size):
+                            # of a single window the key says all
+                            yield core, pd if size > 1 else core, r["h"], r["d"], r["copies"], off, r["shift"] + begin, n, piece if size > 1 else None
+            yield from in_batches(rows(), PIECE, 5000)
+        return run
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answers(block: dict[tuple, list]) -> Iterator[tuple]:
@@ -241,10 +260,23 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
                 yield from answers(block)
         yield from in_batches(rows(), RANGE, 20000)
 
-    met = pieces.join(cores, "core")
-    sorted_ = (met.where("differ").drop("differ").repartition("core").sortWithinPartitions("core", "pd").mapInArrow(sort, ddl(RANGE)))
-    equal = met.where("not differ").select("h", "d", F.col("shift").alias("first"), (F.col("shift") + F.col("n") - 1).alias("last"))
-    ranges = stored(whole.union(equal).union(sorted_), "ranges")
+    ranges = whole
+    while True:
+        cores = stored(pieces.groupBy("core").agg(F.sum("copies").alias("c"), F.min("pd").alias("x"), F.max("pd").alias("y"),
+                                                  F.sum(F.col("n") + (length - 1)).alias("size"))
+                       .where("c > 1").select("core", (F.col("x") != F.col("y")).alias("differ"), (F.col("size") > SORT_BYTES).alias("large")), "cores")
+        large = cores.where("differ and large").select("core")
+        met = pieces.join(cores.where("not (differ and large)").drop("large") if chunk > 1 else cores.drop("large"), "core")
+        equal = met.where("not differ").select("h", "d", F.col("shift").alias("first"), (F.col("shift") + F.col("n") - 1).alias("last"))
+        ranges = ranges.union(equal)
+        if chunk > 1:
+            ranges = ranges.union(met.where("differ").drop("differ").repartition("core").sortWithinPartitions("core", "pd")
+                                  .mapInArrow(sort, ddl(RANGE)))
+        if chunk == 1 or large.isEmpty():
+            break
+        chunk = max(chunk // SHORTER, 1)
+        pieces = stored(pieces.join(large, "core").select(*PIECE.names).mapInArrow(shorten(chunk), ddl(PIECE)), "pieces")
+    ranges = stored(ranges, "ranges")
     marked = (found.join(ranges, ["h", "d"]).groupBy("id", "th")
               .agg(F.collect_list(F.struct((F.col("lo") + F.col("first")).alias("a"),
                                            (F.col("lo") + F.col("last") + length).alias("b"))).alias("marks")).toDF("_id", "_th", "marks"))

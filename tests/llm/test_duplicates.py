@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import near
 from seriesloom.llm.components import connected
@@ -170,3 +171,24 @@ def test_repeated_strings_in_a_very_long_text(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in remove_repeated_strings(frame(spark, rows), 40).collect())
     assert got == brute_strings(rows, 40)
     assert remove_repeated_strings(frame(spark, rows).limit(0), 40).count() == 0
+
+
+def test_a_string_in_very_many_surroundings_is_sorted_in_small_groups(spark, monkeypatch):
+    from seriesloom.llm import substrings
+    monkeypatch.setattr(substrings, "SORT_BYTES", 4000)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot = word(90)
+    rows = [(i, word(rng.randint(0, 120)) + hot[rng.randint(0, 3):] + word(rng.randint(0, 120))) for i in range(400)]
+    rows += [(500 + i, rows[i][1][:150] + word(40)) for i in range(20)]
+    df, largest = frame(spark, rows), []
+    plain = type(df).repartition
+
+    def spied(self, *how):
+        if how == ("core",):
+            largest.append(self.groupBy("core").agg(F.sum(F.octet_length("data")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return plain(self, *how)
+    monkeypatch.setattr(type(df), "repartition", spied)
+    got = sorted((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in remove_repeated_strings(df, 64).collect())
+    assert got == brute_strings(rows, 64)
+    assert len(largest) > 1 and max(largest) <= 4000
