@@ -48,15 +48,15 @@ def make_estimator(name: str, rows: int | None = None, **settings: float):
     if name in ("LightGBM", "HistGB", "XGBoost"):
         # Shrinkage of every booster, and one depth per name.
         depth = {"LightGBM": 5, "HistGB": 8, "XGBoost": 6}[name]
-        base = {"maxIter": 20, "maxDepth": depth, "stepSize": 0.05, "seed": 42}
+        base = {"maxIter": 300, "maxDepth": depth, "stepSize": 0.05, "seed": 42}
         return GBTRegressor(labelCol="y", **{**base, **settings})
     if name == "ExtraTrees":
-        return RandomForestRegressor(labelCol="y", **{**{"numTrees": 50, "maxDepth": 8, "seed": 42}, **settings})
+        return RandomForestRegressor(labelCol="y", **{**{"numTrees": 200, "maxDepth": 15, "seed": 42}, **settings})
     if name == "Ridge":
         alpha = settings.pop("alpha", 1.0)
         return LinearRegression(labelCol="y", elasticNetParam=0.0, regParam=alpha / max(rows or 1, 1), standardization=True, **settings)
     if name == "Huber":
-        return LinearRegression(labelCol="y", loss="huber", epsilon=1.35, regParam=0.0001, **{**{"maxIter": 50}, **settings})
+        return LinearRegression(labelCol="y", loss="huber", epsilon=1.35, regParam=0.0001, **{**{"maxIter": 2000}, **settings})
     raise ValueError(f"unknown pooled model: {name}")
 
 
@@ -185,7 +185,7 @@ def binned_information(frame: DataFrame, features: Sequence[str], target: str =
 
 
 def screen_features(frame: DataFrame, features: Sequence[str] = FEATURES, top: int = 15, cumulative: float = 0.95,
-                    trees: int = 20, depth: int = 6) -> DataFrame:
+                    trees: int = 100, depth: int = 30) -> DataFrame:
     """(feature, importance, mi, kept): kept when in the top by importance or by
     information, within the cumulative importance, or a calendar name."""
     model = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=depth, seed=42).fit(frame)

@@ -189,7 +189,7 @@ def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 @query("f16_feature_screening")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
     frame = materialize(_training(spark, sf)[2])
-    return PO.screen_features(frame, trees=10, depth=5).select("feature", F.round("importance", 4).alias("importance"), F.round("mi", 4).alias("mi"), "kept")
+    return PO.screen_features(frame).select("feature", F.round("importance", 4).alias("importance"), F.round("mi", 4).alias("mi"), "kept")
 
 
 # ---- closed-form models --------------------------------------------------------
@@ -304,15 +304,15 @@ def pooled_setup(spark: SparkSession, sf: str, horizon: int = HORIZON) -> tuple[
 def _pooled(name: str, model: str, **settings: float) -> None:
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        cleaned, rows, wanted = pooled_setup(spark, sf, horizon=14)
+        cleaned, rows, wanted = pooled_setup(spark, sf)
         predictions, _ = PO.fit_pooled(model, cleaned, rows, wanted, **settings)
         return _shown(predictions)
 
 
-_pooled("g10_pooled_boosting", "LightGBM", maxIter=5, maxDepth=4)
-_pooled("g11_pooled_forest", "ExtraTrees", numTrees=8, maxDepth=6)
+_pooled("g10_pooled_boosting", "LightGBM")
+_pooled("g11_pooled_forest", "ExtraTrees")
 _pooled("g12_pooled_ridge", "Ridge")
-_pooled("g13_pooled_huber", "Huber", maxIter=15)
+_pooled("g13_pooled_huber", "Huber")
 
 
 @query("g14_recursive_forecast")
@@ -362,6 +362,6 @@ def g17(spark: SparkSession, sf: str) -> DataFrame:
 @query("g18_feature_importance")
 def g18(spark: SparkSession, sf: str) -> DataFrame:
     frame = materialize(_training(spark, sf)[2])
-    forest = PO.make_estimator("ExtraTrees", numTrees=8, maxDepth=5).fit(frame)
+    forest = PO.make_estimator("ExtraTrees").fit(frame)
     ridge = PO.make_estimator("Ridge", frame.count()).fit(frame)
     return PO.feature_importance(forest, "ExtraTrees", frame).unionByName(PO.feature_importance(ridge, "Ridge", frame))

@@ -228,3 +228,30 @@ def test_harmonic_regression_forecasts_at_the_dates(spark):
     wanted = S.days_ahead(rows, spark.createDataFrame([("s", "test", k, d) for k, d in weekly], "series_id string, kind string, step int, ds date"))
     got = {r["step"]: r["yhat"] for r in S.paths_to_predictions(S.fit_harmonic(rows, wanted, cycles={}), wanted).collect()}
     assert got == pytest.approx({k: 299.0 + 7 * k for k in range(1, 6)})
+
+
+def test_registered_pooled_queries_run_whole(spark, monkeypatch):
+    from seriesloom.plans import io_queries as I, model_queries as Q
+    from seriesloom.plans.registry import QUERIES
+    seen = []
+    monkeypatch.setattr(Q, "setup", lambda s, sf, horizon=Q.HORIZON: (spark.range(1), None, seen.append(horizon)))
+    monkeypatch.setattr(Q.G, "fit_rows", lambda views: None)
+    monkeypatch.setattr(Q.PO, "fit_pooled", lambda name, views, rows, wanted, **settings: (seen.append((name, settings)), None))
+    monkeypatch.setattr(Q, "_shown", lambda made: made)
+    for name in ("g10_pooled_boosting", "g11_pooled_forest", "g12_pooled_ridge", "g13_pooled_huber"):
+        QUERIES[name](spark, "")
+    assert seen == [60, ("LightGBM", {}), 60, ("ExtraTrees", {}), 60, ("Ridge", {}), 60, ("Huber", {})]
+    boosters = [PO.make_estimator(n) for n in ("LightGBM", "HistGB", "XGBoost")]
+    assert {b.getMaxIter() for b in boosters} == {300} and PO.make_estimator("Huber").getMaxIter() == 2000
+    forest = PO.make_estimator("ExtraTrees")
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 15)
+    runs = []
+    monkeypatch.setattr(I, "treated", lambda s, sf: None)
+
+    def stop(series, **settings):
+        runs.append(settings)
+        raise InterruptedError
+    monkeypatch.setattr(I, "forecast_run", stop)
+    with pytest.raises(InterruptedError):
+        QUERIES["r4_run_with_challengers"](spark, "")
+    assert runs[-1]["horizon"] == 60
