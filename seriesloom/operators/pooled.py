@@ -35,12 +35,11 @@ def scales(train: DataFrame) -> DataFrame:
 
 
 def training_frame(train: DataFrame, scale: DataFrame) -> DataFrame:
-    """Scaled features and target of every training day that has a full history."""
+    """Scaled features and target of every training day; where the history is short, features are filled."""
     scaled = train.join(scale.hint("shuffle_hash"), "series_id").select("series_id", "ds", (F.col("y") / F.col("scale")).alias("y"))
     made = univariate_features(scaled)
-    full = F.row_number().over(Window.partitionBy("series_id").orderBy("ds")) > STATE_DAYS
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    return assembler.transform(made.withColumn("_full", full).where("_full").select("series_id", "ds", "y", *FEATURES))
+    return assembler.transform(made.select("series_id", "ds", "y", *FEATURES))
 
 
 def make_estimator(name: str, rows: int | None = None, **settings: float):
@@ -71,7 +70,7 @@ def residual_shift(model: Model, frame: DataFrame, q: float = QUANTILE) -> DataF
 
 
 def start_states(fit_rows: DataFrame, scale: DataFrame) -> DataFrame:
-    """Per (series_id, kind): the last 28 scaled values and the last day. The rank has
+    """Per (series_id, kind): the last 28 scaled values, or all of a shorter series, and the last day. The rank has
     a fixed bound, so only those rows move."""
     w = Window.partitionBy("series_id", "kind").orderBy(F.desc("ds"))
     newest = fit_rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= STATE_DAYS)
@@ -128,7 +127,7 @@ def forecast_paths(model: Model, states: DataFrame, shift: DataFrame | None, ste
         ).withColumn("_p", F.when(finite(F.col("prediction")).isNotNull(), F.col("_p")))
         stand_in = F.coalesce("_p", F.element_at("state", -1))
         current = guessed.select(*[
-            F.slice(F.concat("state", F.array(stand_in)), F.lit(-STATE_DAYS), F.lit(STATE_DAYS)).alias("state") if c == "state"
+            F.slice(F.concat("state", F.array(stand_in)), F.greatest(F.lit(1), F.size("state") + 2 - STATE_DAYS), F.lit(STATE_DAYS)).alias("state") if c == "state"
             else F.concat("path", F.array("_p")).alias("path") if c == "path" else F.col(c)
             for c in keep
         ])
@@ -148,7 +147,7 @@ def fit_pooled(name: str, views: DataFrame, fit_rows: DataFrame, wanted: DataFra
     model = make_estimator(name, rows, **settings).fit(frame)
     shift = residual_shift(model, frame, q) if is_booster(name) else None
     steps = wanted.agg(F.max("step")).first()[0]
-    states = start_states(fit_rows, scale).where(F.size("state") == STATE_DAYS)
+    states = start_states(fit_rows, scale)
     paths = forecast_paths(model, states, shift, steps)
     predictions = wanted.join(paths, ["series_id", "kind"]).select(
         "series_id", F.lit(name).alias("model"), "kind", "step", "ds", F.get("path", F.col("step") - 1).alias("yhat"))

@@ -255,3 +255,25 @@ def test_registered_pooled_queries_run_whole(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         QUERIES["r4_run_with_challengers"](spark, "")
     assert runs[-1]["horizon"] == 60
+
+
+def test_pooled_models_forecast_short_series(spark):
+    t = np.arange(90)
+    series = {"long": (50 + 10 * np.sin(2 * np.pi * t / 7)).tolist(), "short": (80 + 16 * np.sin(2 * np.pi * t[:25] / 7)).tolist()}
+    table = frame(spark, {k: list(enumerate(v)) for k, v in series.items()})
+    views, rows = table.withColumn("part", F.lit("train")), table.withColumn("kind", F.lit("test"))
+    wanted = frame(spark, {k: [(len(v) + i, 0.0) for i in range(9)] for k, v in series.items()}).withColumn("kind", F.lit("test")).withColumn(
+        "step", F.row_number().over(Window.partitionBy("series_id").orderBy("ds"))).drop("y")
+    made, _ = PO.fit_pooled("Ridge", views, rows, wanted)
+    got = made.groupBy("series_id").agg(F.count("yhat").alias("n"), F.min("yhat").alias("least"), F.max("yhat").alias("most")).collect()
+    assert {r["series_id"]: r["n"] for r in got} == {"long": 9, "short": 9}
+    assert all(40 < r["least"] and r["most"] < 120 for r in got if r["series_id"] == "short")
+    # from 25 values on the state grows to 28 and stays there
+    class Last:
+        def transform(self, df):
+            return df.withColumn("prediction", F.size("state").cast("double"))
+    scale = PO.scales(table).withColumn("scale", F.lit(1.0))
+    paths = {r["series_id"]: r["path"] for r in PO.forecast_paths(Last(), PO.start_states(rows, scale), None, 5).collect()}
+    assert paths == {"long": [28.0] * 5, "short": [25.0, 26.0, 27.0, 28.0, 28.0]}
+    train = views.select("series_id", "ds", "y")
+    assert PO.training_frame(train, PO.scales(train)).count() == 115
