@@ -56,7 +56,7 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best candidates so far of every query, ties to the smaller vec_id."""
+    """The k best candidates so far of every query, each vec_id with its best score, ties to the smaller vec_id."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.k, self.ids = k, ids
@@ -70,7 +70,8 @@ class Best:
         order = np.lexsort((v, -s.astype(object) if (s == LEAST).any() else -s, q))
         q, v, s = q[order], v[order], s[order]
         fresh = np.ones(len(q), dtype=bool)
-        fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+        by_vec = np.lexsort((np.arange(len(q)), v, q))  # the first row of each query and vec_id has its best score
+        fresh[by_vec[1:]] = (q[by_vec[1:]] != q[by_vec[:-1]]) | (v[by_vec[1:]] != v[by_vec[:-1]])
         q, v, s = q[fresh], v[fresh], s[fresh]
         nth = np.arange(len(q)) - np.searchsorted(q, q)
         keep = nth < self.k

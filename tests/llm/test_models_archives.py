@@ -207,3 +207,20 @@ def test_damaged_archive_raises():
         list(warc.split_records(iter([record[:-10]])))
     with pytest.raises(ValueError):
         warc._parsed(gzip.compress(record.replace(b"abc", b"abd")), True)
+
+
+def test_search_counts_a_repeated_id_once(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(1, rng.standard_normal(6).tolist()) for _ in range(1)] + [(k, (rng.standard_normal(6) * 0.5).tolist()) for k in range(2, 40)]
+    vectors += [(500 + k % 2, (np.array(vectors[0][1]) * (3 + 0.1 * k)).tolist()) for k in range(20)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    v = search.integer_vectors(df)
+    whole = lambda x: np.floor(256 * np.array(x)).astype(int)
+    best: dict = {}
+    for k, x in vectors:
+        if k != 1:
+            best[k] = max(best.get(k, -10**18), int(whole(x) @ whole(vectors[0][1])))
+    want = sorted(((k, s) for k, s in best.items()), key=lambda r: (-r[1], r[0]))[:5]
+    for lead in (1, 1000):
+        got = search.top_products(v, v.where("vec_id = 1"), lead=lead).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == want
