@@ -91,13 +91,14 @@ def train(labelled: DataFrame, rows: int = 5000, words: int = 20_000, grams: int
     """A model from ``text`` and ``lang`` of the given rows; those without either are left out.
 
     The classifier is fitted on a bounded sample: about ``rows`` rows a language, chosen by a hash of their
-    text. It keeps the ``words`` commonest words and, for each n up to ``longest``, the ``grams`` commonest
+    text and, where there is one, doc_id, so that copies of a text are neither all in nor all out. It keeps the ``words`` commonest words and, for each n up to ``longest``, the ``grams`` commonest
     n-grams of each language, so what the driver gathers and the tasks share is bounded by these and the
     number of languages. Ties in frequency go to the smaller string.
     """
-    usable = labelled.where("lang is not null and text is not null").select("lang", "text")
+    key = [c for c in ("text", "doc_id") if c in labelled.columns]
+    usable = labelled.where("lang is not null and text is not null").select("lang", *key)
     per_language = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("_rows") / F.col("n") * (1 << 20)
+    share = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < F.col("_rows") / F.col("n") * (1 << 20)
     sample = usable.join(F.broadcast(per_language), "lang").withColumn("_rows", F.lit(rows)).where(share)
     counted = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, c long")
     word = counted.groupBy("lang", "word").agg(F.sum("c").alias("c"))

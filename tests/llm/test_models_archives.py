@@ -39,6 +39,12 @@ def test_language_edges(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_language_learns_from_few_distinct_texts(spark):
+    rows = [(k * 1000 + i, f"word{chr(97 + k)} same text{chr(97 + k)}", f"l{k}") for k in range(6) for i in range(400)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert model.languages == [f"l{k}" for k in range(6)]
+
+
 def test_word_backs_off_to_shorter_grams():
     model = language.Model({"a": {0: {"tree": 2}, 2: {"tr": 4}, 1: {"t": 9}}, "b": {0: {}, 2: {}, 1: {"t": 1, "q": 8}}}, 3)
     assert model.word("tree") == [0.0, 7.0]
