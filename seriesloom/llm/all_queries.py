@@ -1,4 +1,4 @@
 """Imports every query module of this subpackage, which fills its registry."""
 
-from seriesloom.llm import language, leaks, lines, near, packing, search, sharding, substrings, token_files, warc  # noqa: F401
+from seriesloom.llm import (language, leaks, lines, near, packing, search, sharding, substrings, token_files, vector_links, warc)  # noqa: F401
 from seriesloom.llm.registry import ORACLES, QUERIES  # noqa: F401

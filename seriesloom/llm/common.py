@@ -61,6 +61,27 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> It
         yield pa.RecordBatch.from_arrays([pa.array([], type=f.type) for f in schema], schema=schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows, sorted by ``keys``, in tables that never part rows with equal keys (no key is null)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in zip(keys, now)):
+            yield pa.Table.from_batches(held)
+            held = []
+        changes = np.flatnonzero(np.any([v[1:] != v[:-1] for v in now], axis=0))
+        if len(changes):
+            cut = int(changes[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
