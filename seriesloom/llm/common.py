@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,25 @@ from seriesloom.session import scratch_folder
 U64 = np.uint64
 
 
+#: What a worker process keeps from task to task, by the name of its owner: how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(owner: str | None = None) -> None:
+    """Gives freed memory back to the system. Worker processes outlive a stage, so an operator names itself (``owner``)
+    when its task begins, and what others keep is dropped first."""
+    if owner is not None:
+        for name, drop in KEPT.items():
+            if name != owner:
+                drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,7 +6,9 @@ import os
 import re
 
 import numpy as np
-VOCABULARIES = "/opt/tokenizers"
+
+from seriesloom.llm.common import KEPT
+
 CACHED_WORDS = 300_000
 
 _PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ſ]|İ")
@@ -14,7 +16,8 @@ _SPLIT = {  # the tokenizers' own word patterns, for texts of plain characters o
     "byte": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"),
     "word": re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~]+"),
 }
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
+KEPT["tokens"] = _encoders.clear
 
 
 class Encoder:
@@ -22,13 +25,18 @@ class Encoder:
 
     Both vocabularies merge inside words only. So a text of plain Latin characters is split by the
     tokenizer's pattern and each distinct word is encoded once, as long as it is remembered: words that
-    were not met since the memory last filled up are forgotten. Any other text goes to the tokenizer whole.
+    were not met since the memory last filled up are forgotten. Any other text goes to the tokenizer whole,
+    and so does one that holds the string of an added token, which gives that token's id; with ``plain`` such
+    strings are ordinary text.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, plain: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if plain:
+            self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
         self.lower, self.words = kind == "word", _SPLIT[kind].findall
         # Between new words that are encoded together: a word of one id that no other word holds.
         self.between, self.apart = (" 0 ", "0".__eq__) if self.lower else ("\n", str.isspace)
@@ -40,7 +48,7 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def ids(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or self.added and self.added(text):
             return self._encode(text).tobytes()
         if len(self.known) > CACHED_WORDS:
             self.before, self.known = self.known, {}
@@ -67,11 +75,19 @@ class Encoder:
             start = end + 4
 
 
-def encoder(file: str, kind: str, folder: str = VOCABULARIES) -> Encoder:
+def vocabulary(file: str, folder: str | None = None) -> str:
+    """The place of a vocabulary file: in ``folder``, or where the public tokenizers are installed."""
+    if folder is not None:
+        return f"{folder}/{file}"
+    import public_tokenizers
+    return public_tokenizers.path(file)
+
+
+def encoder(file: str, kind: str, folder: str | None = None, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; ``kind`` is ``byte`` (byte-level BPE, spaces kept) or
     ``word`` (lower-cased words, white space dropped)."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = f"{folder}/{file}", kind
+    key = vocabulary(file, folder), kind, plain
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]

@@ -8,7 +8,7 @@ import numpy as np
 
 import __spark_entry__ as entry_module
 import corpus_pipeline as C
-from seriesloom.llm.tokens import VOCABULARIES, Encoder
+from seriesloom.llm.tokens import Encoder, vocabulary
 
 
 def prose(rng, letters, words):
@@ -39,7 +39,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert lines[51].text == texts[3] + " tail\nlast line" and lines[50].text == texts[50] and lines[51].n_chars == len(lines[51].text)
     assert set(lines) == set(language)
     assert set(lines) - set(near) == {51, 52} and set(near) - set(leaks) == {53}
-    encoder = Encoder(f"{VOCABULARIES}/word_bpe_49k.json", "word")
+    encoder = Encoder(vocabulary("word_bpe_49k.json"), "word")
     want = {k: len(np.frombuffer(encoder.ids(r.text), "<u4")) + 1 for k, r in leaks.items()}
     got: dict = {}
     for p in packed:

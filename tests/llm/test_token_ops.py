@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from seriesloom.llm import packing, sharding, token_files
-from seriesloom.llm.tokens import VOCABULARIES, Encoder
+from seriesloom.llm.tokens import Encoder, vocabulary
 from seriesloom.session import scratch_folder
 
 SCHEMA = "doc_id long, text string, shard string, record int, slot int, ids int, kept string"
@@ -29,7 +29,7 @@ def edges(spark):
 
 @pytest.mark.parametrize("file,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_encoder_equals_tokenizer(file, kind):
-    e = Encoder(f"{VOCABULARIES}/{file}", kind)
+    e = Encoder(vocabulary(file), kind)
     rng = random.Random(5)
     for _ in range(400):
         text = "".join(rng.choice("aB 'st\n\t 7.,_-Éßÿſİ漢́²½<|endoftext|>Σ\x1c") for _ in range(rng.randint(0, 50)))
@@ -40,7 +40,7 @@ def test_token_files_round_trip(spark, edges):
     folder = scratch_folder(spark, "t-tokens")
     files = token_files.write_token_files(edges, folder, "byte_bpe_50k.json", "byte", 2)
     got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r.start)
-    e = Encoder(f"{VOCABULARIES}/byte_bpe_50k.json", "byte")
+    e = Encoder(vocabulary("byte_bpe_50k.json"), "byte")
     want = sorted(((r[0], np.array([*np.frombuffer(e.ids(r[1] or ""), "<u4"), 2], "<u4").tobytes()) for r in edge_rows()),
                   key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r.doc_id for r in got] == [w[0] for w in want]
