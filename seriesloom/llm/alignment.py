@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ from seriesloom.llm.registry import query
 from seriesloom.llm.tokens import encoder, vocabulary
 
 SPACE = "▁"
-REMEMBERED = 200_000  # words of spaces and what follows them
+REMEMBERED = 300_000  # words of spaces and what follows them
 SHIFT = 16  # an id pair as one number: the A id times 2**16 plus the B id
 CHUNK = 1 << 18  # bytes whose matrices are multiplied together, up to the next common end
 BROADCAST_PAIRS = 1_000_000  # id pairs (16 bytes each) up to which the counts are broadcast
@@ -92,25 +93,23 @@ class Pieces:
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             self.words = lambda text: [text]  # such pieces may join words: every text by itself
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {" ": self.space}
         self.before: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
+        known = self.known
+        if len(known) > REMEMBERED:
+            self.before, known = known, {" ": self.space}
+            self.known = known
         words = self.words(" " + text)
-        new = [w for w in set(words).difference(self.known)]
-        learn = []
-        for w in new:
-            if w in self.before:
-                self.known[w] = self.before[w]
-            elif w == " ":
-                self.known[w] = self.space
-            else:
-                learn.append(w)
-        for w, ids in zip(learn, self.model.encode([w[1:] for w in learn], num_threads=1) if learn else []):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        new = set(words).difference(known)
+        if new:
+            known.update([(w, self.before[w]) for w in new if w in self.before])
+            learn = [w for w in new if w not in self.before]
+            if learn:
+                found = self.model.encode([w[1:] for w in learn], num_threads=1)
+                known.update(zip(learn, [array("I", ids).tobytes() for ids in found]))
+        return b"".join(map(known.__getitem__, words))
 
 
 class Vocabularies:
@@ -172,15 +171,20 @@ def align(a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
     lie between offsets where tokens of both end; Gaᵀ·Gb of the group-token incidence matrices holds the pairs of one
     group. Long sequences are worked off in pieces that end at a common offset, so memory does not grow with their square."""
     ends_a, ends_b = np.cumsum(a_size), np.cumsum(b_size)
-    cuts = np.intersect1d(ends_a, ends_b)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    before_a, before_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)  # the other side's ends below each end
+    common = [np.append(other, -1)[k] == own for own, other, k in ((ends_a, ends_b, before_a), (ends_b, ends_a, before_b))]
+    cuts = ends_a[common[0]]
+    group_a, group_b = (np.cumsum(c) - c for c in common)
+    column_a, column_b = (np.arange(len(g)) + k - g for g, k in ((group_a, before_a), (group_b, before_b)))  # ends at columns' ends
     out, start, at = [], 0, 0
     while at < len(cuts):
         last = min(max(int(np.searchsorted(cuts, start + CHUNK)), at), len(cuts) - 1)
         (a0, a1), (b0, b1) = (np.searchsorted(g, [at, last + 1]) for g in (group_a, group_b))
-        columns = np.union1d(ends_a[a0:a1], ends_b[b0:b1])
-        in_a = incidence(np.searchsorted(columns, ends_a[a0:a1]) + 1, np.diff(columns, prepend=start))
-        links = product(in_a, transposed(incidence(np.searchsorted(columns, ends_b[b0:b1]) + 1)))
+        first = column_a[a0 - 1] + 1 if a0 else 0
+        in_a, in_b = column_a[a0:a1] + 1 - first, column_b[b0:b1] + 1 - first
+        stops = np.empty(in_a[-1], np.int64)
+        stops[in_a - 1], stops[in_b - 1] = ends_a[a0:a1], ends_b[b0:b1]
+        links = product(incidence(in_a, np.diff(stops, prepend=start)), transposed(incidence(in_b)))
         of_a, of_b = (incidence(np.searchsorted(g[x:y], np.arange(at, last + 1), side="right")) for g, x, y in ((group_a, a0, a1), (group_b, b0, b1)))
         out.append((np.repeat(np.arange(a0, a1), np.diff(links.indptr)), links.indices + b0, links.data, np.diff(product(transposed(of_a), of_b).indptr)))
         start, at = int(cuts[last]), last + 1
