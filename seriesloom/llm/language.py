@@ -13,12 +13,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from seriesloom.llm.common import columns, in_batches, load, sliced
+from seriesloom.llm.common import columns, in_batches, load, release, sliced, stored
 from seriesloom.llm.registry import query
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 100_000
+BROADCAST_LANGUAGES = 10_000
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased. Numerals that are no digits, as ½ and Ⅷ, are no letters."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 class Model:
@@ -74,7 +83,7 @@ class Scorer(dict):
             self.before, self.rows_before = dict(self), self.rows
             self.rows = np.empty((REMEMBERED + 1, len(self.model.languages)))
             self.clear()
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -91,15 +100,17 @@ def train(labelled: DataFrame, rows: int = 5000, words: int = 20_000, grams: int
     """A model from ``text`` and ``lang`` of the given rows; those without either are left out.
 
     The classifier is fitted on a bounded sample: about ``rows`` rows a language, chosen by a hash of their
-    text and, where there is one, doc_id, so that copies of a text are neither all in nor all out. It keeps the ``words`` commonest words and, for each n up to ``longest``, the ``grams`` commonest
-    n-grams of each language, so what the driver gathers and the tasks share is bounded by these and the
+    text and, where there is one, doc_id, so that copies of a text are neither all in nor all out. It keeps the
+    ``words`` commonest words and, for each n up to ``longest``, the ``grams`` commonest n-grams of each language, so what the driver gathers and the tasks share is bounded by these and the
     number of languages. Ties in frequency go to the smaller string.
     """
     key = [c for c in ("text", "doc_id") if c in labelled.columns]
     usable = labelled.where("lang is not null and text is not null").select("lang", *key)
-    per_language = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    per_language = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if per_language.count() <= BROADCAST_LANGUAGES:  # else joined as Spark sees fit
+        per_language = F.broadcast(per_language)
     share = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < F.col("_rows") / F.col("n") * (1 << 20)
-    sample = usable.join(F.broadcast(per_language), "lang").withColumn("_rows", F.lit(rows)).where(share)
+    sample = usable.join(per_language, "lang").withColumn("_rows", F.lit(rows)).where(share)
     counted = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, c long")
     word = counted.groupBy("lang", "word").agg(F.sum("c").alias("c"))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
@@ -122,7 +133,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(*columns(batch, "lang", "text")):
-            counts.update((lang, w) for w in WORD.findall(text.lower()))
+            counts.update((lang, w) for w in words_of(text))
         yield from in_batches(((*k, c) for k, c in counts.items()), schema, 50_000)
 
 
@@ -141,6 +152,7 @@ def identify(df: DataFrame, model: Model, records: bool = False) -> DataFrame:
     first = carried.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("language")
         scorer = Scorer(shared.value)
         for batch in sliced(batches):
             kept = batch.column(0)
@@ -148,6 +160,8 @@ def identify(df: DataFrame, model: Model, records: bool = False) -> DataFrame:
             told = [scorer.predict(t) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([kept, pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())],
                                              names=[first.name, "lang_pred", "score"])
+        del scorer
+        release()
     schema = StructType([first, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return carried.mapInArrow(run, schema)
 
