@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import U64, columns, in_batches, load, mix64, shingles, signed, stored, texts, word_hashes
+from seriesloom.llm.common import U64, columns, in_batches, load, mix64, release, shingles, signed, stored, texts, word_hashes
 from seriesloom.llm.components import connected
 from seriesloom.llm.registry import query
 
@@ -18,7 +18,6 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a"
                     ("bands", pa.list_(pa.int64()))])
 MEMBER = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("tokens", pa.binary())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-TOKEN_BYTES = 6  # of a shingle's hash when sets are compared: two of 2**48 values meet once in 10**9 pairs of sets
 
 
 def bands_for(percent: int, miss: float = 1e-6) -> int:
@@ -92,7 +91,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, seed: int
     2. Nodes that share a band key are candidates. Buckets with the same members in several bands are
        looked at once. A bucket is cut into blocks of ``group_sets`` sets or ``group_tokens`` shingles,
        and every two blocks meet in one group, so a group's size is bounded and no pair is left out.
-    3. A group confirms its links on full sets and emits a spanning forest, never all pairs.
+    3. A group confirms its links on full sets and emits a spanning forest, never all pairs. A shingle is told by 64 bits
+       of its hash: two different ones among a pair's 10,000 agree with a probability below 10^-11.
     4. Components of the forest are worked out by :func:`components.connected`.
 
     Texts that are null or have no words have n_shingles 0 and are linked with nothing. Rows without
@@ -105,6 +105,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, seed: int
     offsets = rng.integers(0, 2**63, 2 * bands, dtype=np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("near")
+
         def rows():
             for batch in batches:
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
@@ -115,6 +117,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, seed: int
                     digest = signed(np.array([mix64(s).sum(), mix64(s + U64(1)).sum() ^ U64(len(s))]))
                     yield doc, len(s), int(digest[0]), int(digest[1]), signed(min_max_bands(s, factors, offsets))
         yield from in_batches(rows(), SKETCH, 500)
+        release()
 
     docs = df.select(F.col("doc_id").cast("long"), "text")
     sketches = stored(docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketch")
@@ -137,23 +140,19 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, seed: int
             for batch in batches:
                 for node, where, text in zip(*columns(batch, "node", "places"), texts(batch.column("text"))):
                     s = shingles(word_hashes(text or b""), words)
-                    tokens = s.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+                    tokens = s.tobytes()
                     for p in where:
                         for other in range(p["blocks"]):
                             if other != p["at"] or p["blocks"] == 1:
                                 yield p["bucket"], min(p["at"], other), max(p["at"], other), node, tokens
         yield from in_batches(rows(), MEMBER, 500)
+        release()
 
     def confirm(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         order = np.argsort(node)
         raw = group.column("tokens").to_pylist()
-        sets = []
-        for k in order:
-            wide = np.zeros((len(raw[k]) // TOKEN_BYTES, 8), dtype=np.uint8)
-            wide[:, :TOKEN_BYTES] = np.frombuffer(raw[k], np.uint8).reshape(-1, TOKEN_BYTES)
-            sets.append(wide.view(np.uint64).ravel())
-        label = links_among(sets, percent)
+        label = links_among([np.frombuffer(raw[k], np.uint64) for k in order], percent)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[order][moved], "b": node[order][label[moved]]}, schema=LINK)
 
