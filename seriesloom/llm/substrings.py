@@ -199,9 +199,12 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
     found = stored(docs.where(F.octet_length("text") >= length).mapInArrow(find, ddl(ANCHOR)), "anchors")
     frequent = (found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("x"), F.max("d").alias("y"))
                 .where("c > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
-    slices = stored(found.join(frequent, "h").groupBy("h", "d")
+    # Grouped by another name of h: the layout of the join is not kept, so a large h may be split and its copies are
+    # merged before they move.
+    slices = stored(found.join(frequent, "h").withColumn("g", F.bitwise_not("h")).groupBy("g", "d")
                     .agg(F.count(F.lit(1)).alias("copies"), F.first("mixed").alias("mixed"),
-                         F.min(F.struct("id", "th", "lo", "off", "n")).alias("one")), "slices")
+                         F.min(F.struct("id", "th", "lo", "off", "n")).alias("one"))
+                    .select(F.bitwise_not("g").alias("h"), "d", "copies", "mixed", "one"), "slices")
     whole = slices.where("copies > 1").select("h", "d", F.lit(0).alias("first"), (F.col("one.n") - 1).alias("last"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +316,11 @@ t AS (SELECT g.doc_id, sum(z - a)::BIGINT AS gone, count(*) AS spans,
       FROM g JOIN b ON b.doc_id = g.doc_id
       JOIN (SELECT doc_id, min(a) AS first_a FROM s GROUP BY 1) m ON m.doc_id = g.doc_id GROUP BY g.doc_id)
 SELECT b.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256, coalesce(spans, 0) > 0 AS has_repeat
 FROM b LEFT JOIN t ON t.doc_id = b.doc_id
 """)
 def op9(spark, sf_dir):
     out = remove_repeated_strings(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      (F.size("spans") > 0).alias("has_repeat"))
