@@ -56,7 +56,7 @@ def shuffle_into_shards(df: DataFrame, folder: str, shards: int = 24, seed: int
         return pd.Series(out)
 
     numbered = (df.select(F.struct("*").alias("record"), place.alias("_h"))
-                .withColumn("_b", F.pmod("_h", F.lit(buckets)))
+                .withColumn("_b", F.pmod("_h", F.lit(buckets))).repartition(buckets, "_b")
                 .withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h"))))
     at = fisher_yates("_b", "_i")
     shard = F.expr(f"((_g + 1) * {shards} - 1) div {max(rows, 1)}")
