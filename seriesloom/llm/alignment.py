@@ -236,6 +236,7 @@ def align_documents(df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece
     of their own; other columns are not read; an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("tokens")
         both = Vocabularies(a, b, folder)
 
         def some() -> Iterator[tuple[list, list, list]]:

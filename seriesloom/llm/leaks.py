@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import U64, columns, in_batches, load, mix64, texts, word_hashes
+from seriesloom.llm.common import U64, columns, in_batches, load, mix64, release, texts, word_hashes
 from seriesloom.llm.registry import query
 
 MATCH, MISS = 2, 1  # gained by a word in common; lost by another word, or one left out on either side
@@ -166,6 +166,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: float
     lookup = spark.sparkContext.broadcast(Lookup(known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("leaks")
         total = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for text in texts(batch.column("text")):
@@ -211,6 +212,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: float
                         for k, (score, first, end) in best.items():
                             yield doc, items[k][0], score / (MATCH * len(items[k][1])), first, end
         yield from in_batches(rows(), HIT)
+        release()
     return docs.mapInArrow(meet, DDL)
 
 

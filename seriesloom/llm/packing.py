@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns, in_batches, load, sliced, stored
+from seriesloom.llm.common import columns, in_batches, load, release, sliced, stored
 from seriesloom.llm.registry import query
 from seriesloom.llm.tokens import encoder
 
@@ -136,6 +136,7 @@ def tokenized(df: DataFrame, file: str, kind: str, end: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("tokens")
         ids = encoder(file, kind).ids
 
         def rows():
@@ -143,6 +144,7 @@ def tokenized(df: DataFrame, file: str, kind: str, end: int) -> DataFrame:
                 for doc, text in zip(*columns(batch, "doc_id", "text")):
                     yield doc, ids(text or "") + last
         yield from in_batches(rows(), schema, 500)
+        release()
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 

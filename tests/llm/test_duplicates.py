@@ -122,9 +122,15 @@ def test_repeated_lines(spark):
 
 
 def test_repeated_lines_edges(spark):
-    rows = [(3, "a\nb\nc"), (3, "a\nb\nc"), (None, "a\nb\nc\nd"), (2, "x\ny\nz")]
-    got = sorted((str(r.record.doc_id), r.n_removed) for r in remove_repeated_lines(frame(spark, rows)).collect())
-    assert got == [("2", 0), ("3", 3), ("3", 3), ("None", 0)]
+    rows = [(3, "a\nb\nc"), (3, "a\nb\nc"), (None, "a\nb\nc\nd"), (2, "x\ny\nz"), (5, "p\nq"), (5, "p\nq"), (6, None), (6, None)]
+    rows += [(4, "k\nl\nm\nk")] * 200 + [(None, "t\nu\nv")] * 3  # of equal rows one keeps its lines
+    got = sorted(((str(r.record.doc_id), r.n_removed, r.kept) for r in remove_repeated_lines(frame(spark, rows).repartition(5)).collect()), key=lambda r: (r[0], r[1], r[2] or ""))
+    want = [("2", 0, "x\ny\nz"), ("3", 3, ""), ("3", 3, ""), ("None", 0, "a\nb\nc\nd"), ("5", 0, "p\nq"), ("5", 0, "p\nq"), ("6", 0, None), ("6", 0, None)]
+    want += [("4", 0, "k\nl\nm\nk")] + [("4", 4, "")] * 199 + [("None", 0, "t\nu\nv")] + [("None", 3, "")] * 2
+    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or ""))
+    long = "\n".join(f"line {i % 50_000}" for i in range(100_000))
+    (r,) = remove_repeated_lines(frame(spark, [(1, long)])).collect()
+    assert (r.n_lines, r.n_removed) == (100_000, 50_000)  # the second half; windows across the middle occur once
     assert remove_repeated_lines(frame(spark, rows).limit(0)).count() == 0
 
 

@@ -39,6 +39,42 @@ def test_language_edges(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "aaa bbb", "x"), (2, "ccc ddd", "y")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ① 3"), (3, "aaa½²"), (4, "²ccc")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "x" and got[4][0] == "y"
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Every document of the small table scored by dictionaries, letter by letter."""
+    import math
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs.where(language.remainder() != 2), rows=60)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    for r in docs.collect():
+        words, word = [], ""
+        for c in (r.text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        total, n = [0.0] * len(model.languages), 0
+        for w in words:
+            costs = model.word(w)
+            if not math.isnan(costs[0]):
+                total, n = [a + b for a, b in zip(total, costs)], n + 1
+        if not words:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        mean = [t / n for t in total]
+        best = min(range(len(mean)), key=mean.__getitem__)
+        assert got[r.doc_id][0] == model.languages[best]
+        assert got[r.doc_id][1] == pytest.approx(1 / sum(10 ** (mean[best] - m) for m in mean))
+
+
 def test_language_learns_from_few_distinct_texts(spark):
     rows = [(k * 1000 + i, f"word{chr(97 + k)} same text{chr(97 + k)}", f"l{k}") for k in range(6) for i in range(400)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)

@@ -48,7 +48,37 @@ def test_stages_take_effect(spark, tmp_path):
     assert got == want
 
 
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in C.STAGES:
+        docs = C.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0 and (name == "packing" or docs.columns == C.COLUMNS)
+
+
+def test_repeated_rows_and_long_texts(spark, tmp_path):
+    """One of equal rows stays, with the same doc_id, without one, or with others; very long texts go through whole."""
+    rng = random.Random(4)
+    a, b, c = (prose(rng, "aeiostr", 60) for _ in range(3))
+    long = prose(rng, "aeiostr", 60_000)
+    rows = [(7, a)] * 3 + [(None, b)] * 2 + [(9, c), (None, c), (4, c), (4, c)] + [(11, long)]
+    docs = spark.createDataFrame([(k, t, "x", f"s{i}", len(t)) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.near(spark, docs.repartition(4), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(7, a), (None, b), (4, c), (11, long)], key=str)
+    spark.createDataFrame([(1, prose(rng, "öäü", 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    for name, stage in C.STAGES:
+        docs = C.stored(stage(spark, docs, str(tmp_path)), name)
+        seen.append(docs.count())
+    assert seen[0] == len(rows) and seen[2] == 4
+    want = Encoder(vocabulary("word_bpe_49k.json"), "word")
+    got: dict = {}
+    for p in docs.collect():
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == {k: len(want.ids(t)) // 4 + 1 for k, t in ((7, a), (None, b), (4, c), (11, long))}
+
+
 def test_all_operators_are_registered():
     names = entry_module.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and names["pipeline"] is C.run
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and names["pipeline"] is C.run
     assert "pipeline" not in entry_module.oracle_sql() and set(entry_module.oracle_sql()) <= set(names)

@@ -27,13 +27,48 @@ def edges(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
 
 
+def fresh(file):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(vocabulary(file))
+
+
 @pytest.mark.parametrize("file,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_encoder_equals_tokenizer(file, kind):
-    e = Encoder(vocabulary(file), kind)
+    e, plain, t = Encoder(vocabulary(file), kind), Encoder(vocabulary(file), kind, plain=True), fresh(file)
+    literal = fresh(file)
+    literal.encode_special_tokens = True
     rng = random.Random(5)
-    for _ in range(400):
-        text = "".join(rng.choice("aB 'st\n\t 7.,_-Éßÿſİ漢́²½<|endoftext|>Σ\x1c") for _ in range(rng.randint(0, 50)))
-        assert np.frombuffer(e.ids(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    parts = [*"aB 'st\n\t 7.,_-Éßÿſİ漢́²½<|>Σ\x1c", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "word", " the"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(plain.ids(text), "<u4").tolist() == literal.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(Encoder(vocabulary("byte_bpe_50k.json"), "byte").ids("hello <|endoftext|> x"), "<u4")
+
+
+def test_registered_rows_equal_the_plain_tokenizers(spark):
+    """Every row of op1 and op6 on the small table, from tokenizers that share no code with the library."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    t = fresh("byte_bpe_50k.json")
+    start = 0
+    got = {r.doc_id: r for r in token_files.op1(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for k in sorted(texts):
+        ids = [*t.encode(texts[k], add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    t = fresh("word_bpe_49k.json")
+    pieces: dict = {}
+    for p in packing.op6(spark, sf).collect():
+        pieces.setdefault(p.doc_id, []).append(p)
+    for k, text in texts.items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(pieces[k], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at:at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
 
 
 def test_token_files_round_trip(spark, edges):
