@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: five stages, each stored before the next reads it."""
+"""A training-data pipeline over ``documents``: five stages, each stored before the next reads it.
+
+In every stage a null or empty text, or one without letters, goes with the first stage; texts of any length are taken whole; rows
+that agree in doc_id, text or both are rows of their own until the near stage keeps one of each group; an empty table gives
+empty results with the same columns; further columns of ``documents`` are left behind."""
 
 from __future__ import annotations
 
@@ -35,9 +39,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate group, at a similarity of 0.8."""
-    copies = stored(near_duplicates(docs, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each near-duplicate group, at a similarity of 0.8, the row with the smallest doc_id (of equal ids one; a row
+    without doc_id only where all lack it)."""
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "numbered")
+    found = stored(near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), percent=80)
+                   .select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.join(numbered.select("row", "doc_id"), "row").groupBy("group").agg(F.min(order).alias("first"))
+    gone = stored(found.join(first, "group").where(F.col("row") != F.col("first.row")).select("row"), "copies")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
