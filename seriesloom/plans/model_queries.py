@@ -362,6 +362,5 @@ def g17(spark: SparkSession, sf: str) -> DataFrame:
 @query("g18_feature_importance")
 def g18(spark: SparkSession, sf: str) -> DataFrame:
     frame = materialize(_training(spark, sf)[2])
-    forest = PO.make_estimator("ExtraTrees").fit(frame)
-    ridge = PO.make_estimator("Ridge", frame.count()).fit(frame)
+    forest, ridge = (PO.fit_model(name, frame, PO.FEATURES) for name in ("ExtraTrees", "Ridge"))
     return PO.feature_importance(forest, "ExtraTrees", frame).unionByName(PO.feature_importance(ridge, "Ridge", frame))

