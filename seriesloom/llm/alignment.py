@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
@@ -93,14 +94,18 @@ class Pieces:
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             self.words = lambda text: [text]  # such pieces may join words: every text by itself
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
         self.known: dict[str, bytes] = {" ": self.space}
         self.before: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # words whose pieces' bytes are others than theirs
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> tuple[bytes, bool]:
+        """The ids, and whether every word is kept by its pieces."""
         known = self.known
         if len(known) > REMEMBERED:
-            self.before, known = known, {" ": self.space}
-            self.known = known
+            self.before, self.known = known, {" ": self.space}
+            known = self.known
+            self.lossy &= self.before.keys()
         words = self.words(" " + text)
         new = set(words).difference(known)
         if new:
@@ -109,7 +114,9 @@ class Pieces:
             if learn:
                 found = self.model.encode([w[1:] for w in learn], num_threads=1)
                 known.update(zip(learn, [array("I", ids).tobytes() for ids in found]))
-        return b"".join(map(known.__getitem__, words))
+                pieces = self.bytes
+                self.lossy.update(w for w, ids in zip(learn, found) if b"".join([pieces[k] for k in ids]) != w.encode())
+        return b"".join(map(known.__getitem__, words)), not self.lossy or self.lossy.isdisjoint(words)
 
 
 class Vocabularies:
@@ -123,20 +130,22 @@ class Vocabularies:
         special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         entries = [self.a.tokenizer.id_to_token(k) or "" for k in range(size)]
         self.a_bytes = [e.encode() if e in special else bytes(byte_of[c] for c in e) for e in entries]
-        model = self.b.model
-        pieces = [(model.id_to_piece(k), model.is_byte(k)) for k in range(model.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace(SPACE, " ").encode() for p, is_byte in pieces]
+        self.b_bytes = self.b.bytes
+        # Nothing is rewritten and every byte has an entry, so the joined bytes of A's entries are always the text's.
+        self.a_whole = self.a.tokenizer.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes)
         self.a_size, self.b_size = (np.array([len(e) for e in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         # An id's decimal digits and what follows it: "," inside a side, "|" after A's last, ";" after B's last.
-        most = max(size, len(pieces))
+        most = max(size, len(self.b_bytes))
         self.told = np.array([f"{k}{c}" for c in ",|;" for k in range(most)], dtype=object).reshape(3, most)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """A text's ids on both sides; none where the joined bytes of either differ from a space and the text."""
         if text:
-            a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (self.a.ids(" " + text), self.b.ids(text)))
+            (b, kept), a = self.b.ids(text), self.a.ids(" " + text)
+            a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (a, b))
             whole = (" " + text).encode()
-            if b"".join([self.a_bytes[k] for k in a.tolist()]) == whole and b"".join([self.b_bytes[k] for k in b.tolist()]) == whole:
+            if (self.a_whole or b"".join([self.a_bytes[k] for k in a.tolist()]) == whole) and (
+                    kept or b"".join([self.b_bytes[k] for k in b.tolist()]) == whole):
                 return a, b
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -238,6 +247,7 @@ def align_documents(df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("tokens")
         both = Vocabularies(a, b, folder)
+        gc.disable()  # very many small lists and no cycles
 
         def some() -> Iterator[tuple[list, list, list]]:
             held, size = ([], [], []), 0
@@ -254,6 +264,7 @@ def align_documents(df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece
         for rows, docs, texts in some():
             out = [(*keys, *x) for keys, x in zip(zip(rows, docs), align_texts(both, texts))]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [[]] * len(ROW), ROW)], schema=ROW)
+        gc.enable()
         release()
 
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
