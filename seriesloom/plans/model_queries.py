@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.operators import features as X, holidays as HD, metrics as M, models as G, pooled as PO, prepare as P, smoothing as S
@@ -322,6 +323,28 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(predictions)
 
 
+# Fixed weights, so that SQL can roll the same line: scaled by nothing, one step feeding the next.
+LINE_WEIGHTS = {"lag_1": 0.5, "lag_7": 0.3, "roll_mean_7": 0.1, "dow": 0.25, "month_cos": -0.5}
+LINE_START = 1.5
+
+
+@query("g14b_recursion_of_a_given_line", FILLED_CTES.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", b AS (SELECT series_id, ds, y, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS back FROM f),
+  s AS (SELECT series_id, MAX(ds) AS last_ds, list(y ORDER BY ds) AS st FROM b WHERE back <= 28 GROUP BY 1),
+  rolled AS (SELECT series_id, last_ds, 0 AS step, st FROM s UNION ALL
+    SELECT series_id, last_ds, step + 1, list_append(st[-27:], greatest(0.0, {LINE_START} + 0.5 * st[-1] + 0.3 * st[-7] + 0.1 * list_avg(st[-7:]) + 0.25 * (isodow(last_ds + step + 1) - 1)
+      - 0.5 * cos(2 * pi() * month(last_ds + step + 1) / 12))) FROM rolled WHERE step < {HORIZON})
+SELECT series_id, 'future' AS kind, step, CAST(last_ds + step AS DATE) AS ds, round(st[-1], 4) AS yhat FROM rolled WHERE step > 0""")
+def g14b(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-pass recursion of a model whose weights are given."""
+    rows = filled(spark, sf).withColumn("kind", F.lit("future"))
+    line = PO.Fitted("line", PO.FEATURES, weights=np.array([LINE_WEIGHTS.get(f, 0.0) for f in PO.FEATURES]), intercept=LINE_START)
+    states = PO.start_states(rows, rows.select("series_id").distinct().withColumn("scale", F.lit(1.0)))
+    wanted = states.select("series_id", "kind", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("step"), "last_ds").select(
+        "series_id", "kind", "step", F.date_add("last_ds", F.col("step")).alias("ds"))
+    days = PO.known_days(X.cyclical(X.calendar(wanted)), PO.CALENDAR_FEATURES)
+    return _shown(PO.path_predictions(PO.rolled_paths(line, states, days, PO.CALENDAR_FEATURES), wanted, "line"))
+
+
 _LAST28 = "SELECT series_id, ds, y, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS back FROM f"
 
 

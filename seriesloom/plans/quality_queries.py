@@ -400,7 +400,9 @@ _SEEN = "SELECT job_id, sheet_name, metric_name, bool_or(won) AS any_won FROM fl
 
 
 def _made(where: str) -> str:
-    return BOARD_CTES.rstrip() + f""", flagged AS ({_FLAG}), seen AS ({_SEEN})
+    # what is read more than once is worked out once
+    once = BOARD_CTES.rstrip().replace("model_runs AS (", "model_runs AS MATERIALIZED (").replace("headline AS (", "headline AS MATERIALIZED (")
+    return once + f""", flagged AS MATERIALIZED ({_FLAG}), seen AS MATERIALIZED ({_SEEN})
 SELECT h.job_id, h.sheet_name, h.metric_name, h.best_model AS model_name, CASE WHEN h.is_multivariate THEN 'Multivariate' ELSE 'Univariate' END AS stage, round(h.wmape, 6) AS wmape, h.best_model IS NOT NULL AS is_champion
 FROM headline h LEFT JOIN seen s ON s.job_id = h.job_id AND s.sheet_name = h.sheet_name AND s.metric_name = h.metric_name WHERE {where}"""
 
