@@ -197,14 +197,15 @@ def remove_repeated_strings(df: DataFrame, length: int = 400) -> DataFrame:
                          pa.array(lo), pa.array((at - lo).astype(np.int32)), pa.array(n.astype(np.int32))], schema=ANCHOR)
 
     found = stored(docs.where(F.octet_length("text") >= length).mapInArrow(find, ddl(ANCHOR)), "anchors")
-    frequent = (found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("x"), F.max("d").alias("y"))
-                .where("c > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
-    # Grouped by another name of h: the layout of the join is not kept, so a large h may be split and its copies are
-    # merged before they move.
+    frequent = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("x"), F.max("d").alias("y"))
+                      .where("c > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")), "frequent")
+    # Stored, and grouped by another name of h: the join has plain exchanges below it and its layout is not kept, so a
+    # large h may be split and its copies are merged before they move. Any of equal slices may stand for them.
+    place = ("id", "th", "lo", "off", "n")
     slices = stored(found.join(frequent, "h").withColumn("g", F.bitwise_not("h")).groupBy("g", "d")
                     .agg(F.count(F.lit(1)).alias("copies"), F.first("mixed").alias("mixed"),
-                         F.min(F.struct("id", "th", "lo", "off", "n")).alias("one"))
-                    .select(F.bitwise_not("g").alias("h"), "d", "copies", "mixed", "one"), "slices")
+                         *[F.first(c).alias(c) for c in place])
+                    .select(F.bitwise_not("g").alias("h"), "d", "copies", "mixed", F.struct(*place).alias("one")), "slices")
     whole = slices.where("copies > 1").select("h", "d", F.lit(0).alias("first"), (F.col("one.n") - 1).alias("last"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
