@@ -127,8 +127,10 @@ def series_profile(readings: DataFrame, horizon: int, test_window: int) -> DataF
 
 
 def series_issues(profile: DataFrame, horizon: int) -> DataFrame:
-    """Add ``issues``: array of (code, severity, message), in report order."""
+    """Add ``issues``: array of (code, severity, message), in report order. Where the profile has a ``metric``, the
+    message on values that are no numbers names it."""
     c = F.col
+    inside = F.concat(F.lit(" in '"), c("metric"), F.lit("'")) if "metric" in profile.columns else F.lit("")
     ready = c("ready")
     gap = c("median_gap")
     dropped = c("usable_points") - c("kept_on_grid")
@@ -140,7 +142,7 @@ def series_issues(profile: DataFrame, horizon: int) -> DataFrame:
         _issue(c("unparseable_dates") > 0, "unparseable_dates", F.concat(
             _plural(c("unparseable_dates"), "row"), F.lit(" with a missing or unreadable date will be dropped."))),
         _issue(c("non_numeric_values") > 0, "non_numeric_values", F.concat(
-            _plural(c("non_numeric_values"), "value"), F.lit(" aren't numbers and will be treated as missing."))),
+            _plural(c("non_numeric_values"), "value"), inside, F.lit(" aren't numbers and will be treated as missing."))),
         _issue(c("duplicate_timestamps") > 0, "duplicate_timestamps", F.concat(
             _plural(c("duplicate_timestamps"), "duplicate date"),
             F.lit(": only the last value for each date is kept — values are not summed."))),

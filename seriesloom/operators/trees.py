@@ -3,7 +3,7 @@
 Features are cut into at most 64 bins, whose edges come from bounded sketches, and rows are stored as blocks of
 bin numbers. One pass over the blocks grows one level of many trees at once: every task adds up its rows' sums per
 node and cut, Spark adds the tasks' sums, and the driver sees sums or chosen cuts only, whose number depends on the
-trees and not on the rows. So a model of 300 trees takes some 200 passes, and one of 200 random trees takes 15.
+trees and not on the rows. So a boosted model of 300 trees takes some 120 passes, and one of 200 random trees takes 15.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def _cells(held: DataFrame, count, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def boost(frame: DataFrame, features: Sequence[str], quantile: float, trees: int = 300, depth: int = 6, leaves: int = 31, shrink: float = 0.05,
-          abreast: int = 10, least: int = 20, share: float = 0.5, store_every: int = 3, seed: int = 42, target: str = "y") -> Trees:
+          abreast: int = 20, least: int = 20, share: float = 0.5, store_every: int = 3, seed: int = 42, target: str = "y") -> Trees:
     """Gradient boosting of the pinball loss: a forecast that a share ``quantile`` of the targets lies below.
 
     ``abreast`` trees of a round are grown side by side from the same gradients, each on a random ``share`` of the

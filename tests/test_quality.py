@@ -6,6 +6,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.operators import quality as Q
 
@@ -75,3 +76,11 @@ def test_gate(spark):
     assert Q.report_gate(report.limit(0), none).collect()[0]["has_blocking"] is True
     groups = Q.group_issues(report, none.unionByName(spark.createDataFrame([("c", "warning", "m")], none.schema))).collect()
     assert {(g["severity"], g["label"]): g["issues"] for g in groups} == {("blocking", "n29"): 1, ("warning", None): 1}
+
+
+def test_message_names_the_metric_where_there_is_one(spark):
+    rows = [("words", i, ds, y) for i, (ds, y) in enumerate(SERIES["words"])]
+    readings = spark.createDataFrame(rows, "series_id string, row_no long, ds_raw string, y_raw string")
+    profile = Q.series_profile(readings, 30, 30).withColumn("metric", F.lit("sales"))
+    (r,) = Q.series_issues(profile, 30).collect()
+    assert [i["message"] for i in r["issues"] if i["code"] == "non_numeric_values"] == ["3 values in 'sales' aren't numbers and will be treated as missing."]
