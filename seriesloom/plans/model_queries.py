@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.operators import features as X, holidays as HD, metrics as M, models as G, pooled as PO, prepare as P, smoothing as S
+from seriesloom.operators import changepoints as CP, features as X, holidays as HD, metrics as M, models as G, pooled as PO, prepare as P, smoothing as S
 from seriesloom.plans.inputs import ctes, load
 from seriesloom.plans.prepare_queries import FREQ, GAPS, GRID_CTES, SKEW, TEST_WINDOW, VIEW_CTES, supplier_grid, treated, views
 from seriesloom.plans.registry import query
@@ -289,6 +289,23 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(S.paths_to_predictions(S.fit_harmonic(rows, wanted), wanted))
 
 
+@query("g08b_changepoint_trend", MODEL_CTES + "SELECT series_id, kind, CAST(COUNT(*) AS BIGINT) AS n, COUNT(DISTINCT ds) > 1 AS fitted, 0.0 AS violation FROM fits GROUP BY 1, 2")
+def g08b(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fit with its distance from the conditions of an optimum, which are worked out from the rows."""
+    _, rows, _ = setup(spark, sf)
+    rows = materialize(rows)
+    fitted = materialize(CP.fit_changepoints(rows))
+    found = CP.optimality(rows, fitted)
+    return fitted.select("series_id", "kind", "n", F.col("error").isNull().alias("fitted")).join(found.drop("n"), ["series_id", "kind"], "left").select(
+        "series_id", "kind", "n", "fitted", F.round(F.coalesce("violation", F.lit(0.0)), 6).alias("violation"))
+
+
+@query("g08c_changepoint_forecast")
+def g08c(spark: SparkSession, sf: str) -> DataFrame:
+    _, rows, wanted = setup(spark, sf)
+    return _shown(CP.predict_changepoints(CP.fit_changepoints(rows), wanted))
+
+
 @query("g09_differenced_ar")
 def g09(spark: SparkSession, sf: str) -> DataFrame:
     _, rows, wanted = setup(spark, sf)
