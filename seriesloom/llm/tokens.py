@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -16,6 +17,9 @@ _SPLIT = {  # the tokenizers' own word patterns, for texts of plain characters o
     "byte": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"),
     "word": re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~]+"),
 }
+# Byte-level vocabularies write a byte as one letter: printable ones as themselves, the others from U+0100 on in order.
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {byte: 0x100 + rank for rank, byte in enumerate(b for b in range(0x100) if b not in _OWN)}
 _encoders: dict[tuple[str, str, bool], Encoder] = {}
 KEPT["tokens"] = _encoders.clear
 
@@ -38,9 +42,7 @@ class Encoder:
             self.tokenizer.encode_special_tokens = True
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
         self.lower, self.words = kind == "word", _SPLIT[kind].findall
-        # Between new words that are encoded together: a word of one id that no other word holds.
-        self.between, self.apart = (" 0 ", "0".__eq__) if self.lower else ("\n", str.isspace)
-        (self.mark,) = self._encode(self.between)
+        self.model = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -59,20 +61,14 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, words: set[str]) -> None:
-        joined = []
+        """New words go to the library's merge model itself: the split and the byte letters are known already, so the
+        rest of its pipeline would only repeat them."""
         for w in words:
-            if w in self.before:
-                self.known[w] = self.before[w]
-            elif self.apart(w):
-                self.known[w] = self._encode(w).tobytes()
-            else:
-                joined.append(w)
-        ids = self._encode(self.between.join(joined))
-        ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(joined, ends, strict=bool(joined)):
-            self.known[w] = raw[start:end]
-            start = end + 4
+            found = self.before.get(w)
+            if found is None:
+                ids = [t.id for t in self.model(w.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.known[w] = found
 
 
 def vocabulary(file: str, folder: str | None = None) -> str:
