@@ -24,10 +24,12 @@ def join_facts(
 
     Each row goes to one of ``salts`` copies of its key's fact row, chosen by a
     hash of ``spread_by`` (columns that differ between a key's rows). Catalyst
-    still broadcasts the facts when their size is under its threshold.
+    still broadcasts the copies when their size is under its threshold: they come
+    from a cross join, which its estimate counts, while an explode counts as one row.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    numbers = facts.sparkSession.range(salts).select(F.col("id").cast("int").alias("_salt"))
+    copies = facts.crossJoin(F.broadcast(numbers))
     return salted.join(copies, [*key, "_salt"], how).drop("_salt")
 
 
