@@ -111,10 +111,11 @@ def lag1_autocorrelation(series: DataFrame, bounded: bool = True) -> DataFrame:
         paired = previous_reading(present, KEY, "ds", ["y"])
     have = F.col("prev_y").isNotNull()
     both = paired.withColumn("_a", F.when(have, F.col("y"))).withColumn("_b", F.col("prev_y"))
-    flat = (F.stddev_pop("_a") == 0) | (F.stddev_pop("_b") == 0)
+    # corr itself fails where a side is constant, even inside a condition
+    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
     return both.groupBy(*KEY).agg(
         F.count("y").alias("n_points"),
-        F.when(~flat, F.corr("_a", "_b")).alias("autocorr"),
+        F.try_divide(F.covar_pop("_a", "_b"), spread).alias("autocorr"),
     )
 
 
