@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.spread import join_facts
 from seriesloom.operators import prepare as P
+from seriesloom.plans import inputs
 
 
 def days(spark, n: int, value: str, series: str = "'a'"):
@@ -32,3 +33,16 @@ def test_constant_series_have_no_autocorrelation(spark):
         assert P.lag1_autocorrelation(series).first().autocorr is None
         assert P.analyze_treatment(series).first().weekday_treatment in ("median", "recent_seasonal_median")
     assert abs(P.lag1_autocorrelation(days(spark, 40, "id")).first().autocorr - 1) < 1e-12
+
+
+def test_daily_series_lie_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Tasks follow the number of readings, and a series lies in one of them."""
+    spark.range(4000).selectExpr("id as l_orderkey", "id % 90 as l_suppkey", "timestamp'2024-01-01' + make_dt_interval(cast(id % 70 as int)) as l_shipdate",
+                                 "cast(id % 50 as double) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(inputs, "READINGS_A_TASK", 100)
+    series = inputs.daily_series(spark, str(tmp_path))
+    held = series.withColumn("task", F.spark_partition_id()).groupBy("series_id").agg(F.countDistinct("task").alias("tasks"), F.min("task").alias("task"))
+    assert series.rdd.getNumPartitions() == 40
+    found = held.collect()
+    assert {r.tasks for r in found} == {1} and len({r.task for r in found}) > 20
+    assert series.exceptAll(inputs.load(spark, str(tmp_path), "supplier_daily")).isEmpty()
