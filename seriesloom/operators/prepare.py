@@ -7,10 +7,13 @@ Raw readings of any density go through ``keep_last`` and ``on_daily_grid`` first
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.functions import rules
@@ -87,11 +90,12 @@ def daily_grid(series: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """
     w = Window.partitionBy(*key).orderBy("ds")
     upto = F.coalesce(F.date_sub(F.lead("ds").over(w), 1), F.col("ds"))
-    stretched = series.withColumn("_days", F.sequence(F.col("ds"), upto, F.expr("interval 1 day")))
+    # day numbers: steps of an interval are worked out on timestamps, many times slower
+    stretched = series.withColumn("_days", F.sequence(F.unix_date("ds"), F.unix_date(upto), F.lit(1)))
     rest = [c for c in series.columns if c not in (*key, "ds", "y")]
     return stretched.select(
-        *key, *rest, F.col("ds").alias("_seen"), F.explode("_days").alias("ds"), F.col("y").alias("_y")
-    ).select(
+        *key, *rest, F.col("ds").alias("_seen"), F.explode("_days").alias("_day"), F.col("y").alias("_y")
+    ).withColumn("ds", F.date_from_unix_date("_day")).select(
         *key, "ds", F.when(F.col("ds") == F.col("_seen"), F.col("_y")).alias("y"),
         (F.col("ds") == F.col("_seen")).alias("was_observed"), *rest,
     )
@@ -264,48 +268,65 @@ def clean(series: DataFrame, key: Sequence[str] = KEY, allow_negative: bool = Fa
     return clip_negative(clip_outliers(impute(series, key), key), allow_negative)
 
 
+def _median(ordered: list[float]) -> float:
+    """Median of a sorted list; nan when it is empty."""
+    n = len(ordered)
+    if not n:
+        return math.nan
+    return ordered[n // 2] if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
+
+
+def filled_in_order(values: np.ndarray, dow: list[int], weekday: str, weekend: str) -> list[float]:
+    """The values of one series with every nan filled by its rule. What lies before a gap is filled already, so its
+    windows are short slices of known values; the median of the whole series is kept in a sorted list."""
+    y = values.tolist()
+    rules_of = [weekend if d >= 5 else weekday for d in dow]
+    gaps = np.flatnonzero(np.isnan(values)).tolist()
+    whole = any(rules_of[i] not in ("zero", "yearly_seasonal_median", "recent_seasonal_median") for i in gaps)
+    known = np.sort(values[~np.isnan(values)]).tolist() if whole else []
+
+    def recent(i: int) -> float:
+        if i == 0:
+            return _median(sorted(v for v in y[:30] if v == v))
+        lo = max(0, i - 90)
+        same = [v for v, d in zip(y[lo:i], dow[lo:i]) if d == dow[i]]
+        return _median(sorted(same or y[lo:i]))
+
+    for i in gaps:
+        rule = rules_of[i]
+        if rule == "zero":
+            value = 0.0
+        elif rule == "yearly_seasonal_median" and i >= 372:
+            value = _median(sorted(y[i - 372:i - 357]))
+        elif rule in ("yearly_seasonal_median", "recent_seasonal_median"):
+            value = recent(i)
+        else:
+            value = _median(known)
+        y[i] = 0.0 if math.isnan(value) else value
+        if whole:
+            bisect.insort(known, y[i])
+    return y
+
+
 def impute_in_order(series: DataFrame) -> DataFrame:
     """The order-dependent form of ``impute``: each filled value is visible to later windows.
 
     Per-series fold over one bounded daily series; use it only where results must
     include earlier fills. ``impute`` is the parallel default.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds").reset_index(drop=True)
-        y = pdf["y"].to_numpy(dtype=float, copy=True)
-        dow = pd.to_datetime(pdf["ds"]).dt.weekday.to_numpy()
-        weekday, weekend = pdf["weekday_treatment"].iloc[0], pdf["weekend_treatment"].iloc[0]
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ds")
+        weekday, weekend = (rows.column(c)[0].as_py() for c in ("weekday_treatment", "weekend_treatment"))
+        values = rows.column("y").to_numpy().astype(float)
         if weekday == "ffill":
-            y = pd.Series(y).ffill().to_numpy(copy=True)
-
-        def median(values: np.ndarray) -> float:
-            values = values[~np.isnan(values)]
-            return float(np.median(values)) if values.size else np.nan
-
-        def recent(i: int) -> float:
-            lo = max(0, i - 90)
-            near = y[lo:i]
-            if near.size == 0 or np.isnan(near).all():
-                return median(y[:30])
-            same = median(near[dow[lo:i] == dow[i]])
-            return median(near) if np.isnan(same) else same
-
-        for i in np.flatnonzero(np.isnan(y)):
-            rule = weekend if dow[i] >= 5 else weekday
-            if rule == "zero":
-                value = 0.0
-            elif rule == "yearly_seasonal_median":
-                value = median(y[i - 372:i - 357]) if i >= 372 else np.nan
-                value = recent(i) if np.isnan(value) else value
-            elif rule == "recent_seasonal_median":
-                value = recent(i)
-            else:
-                value = median(y)
-            y[i] = 0.0 if np.isnan(value) else value
-        return pdf.assign(y=y)
+            values = pd.Series(values).ffill().to_numpy()
+        dow = (rows.column("ds").cast(pa.int32()).to_numpy() + 3) % 7  # day 0 was a Thursday
+        at = rows.column_names.index("y")
+        y = pa.array(filled_in_order(values, dow.tolist(), weekday, weekend), pa.float64(), from_pandas=True)
+        return rows.set_column(at, rows.field(at), y.cast(rows.field(at).type))
 
     grid = daily_grid(series)
-    return grid.groupBy(*KEY).applyInPandas(fold, grid.schema)
+    return grid.groupBy(*KEY).applyInArrow(fold, grid.schema)
 
 
 def split_cutoff(series: DataFrame, test_window: int) -> DataFrame:
