@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from seriesloom.functions.timecols import MICROS_PER_DAY, micros
 from seriesloom.operators.prepare import keep_last
 from seriesloom.operators.realized import compare
-from seriesloom.session import materialize, stored_table
+from seriesloom.session import scratch_folder, stored_table
 
 
 def daily_rollup(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -31,6 +31,13 @@ def write_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _set_down(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of their own: a checkpoint of rows takes several times the disk."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def merge_latest(batch: DataFrame, path: str, key: Sequence[str], order: Sequence[str], partition: str) -> DataFrame:
     """Merge a batch into the table at ``path``: newest row per key wins. Only the
     partitions the batch touches are read and replaced, so a batch can be replayed
@@ -44,7 +51,7 @@ def merge_latest(batch: DataFrame, path: str, key: Sequence[str], order: Sequenc
     if stored is not None:
         touched = batch.select(partition).distinct()
         incoming = newest(incoming.unionByName(stored.join(touched, partition, "left_semi").select(*incoming.columns)))
-    merged = materialize(incoming)
+    merged = _set_down(incoming, "merged")  # before the folders it came from are replaced
     merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return merged
 
@@ -64,7 +71,9 @@ def realized_stream(
 ) -> StreamingQuery:
     """Actuals (key, ds, row_no, y) arrive; the scores of every series they touch are
     brought up to date. Series are spread over ``buckets`` folders by a hash, and a
-    batch reads only the buckets it touches."""
+    batch reads only the buckets it touches. The forecasts are worked out once, when the stream starts."""
+    forecasts = _set_down(forecasts, "forecasts")
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
         rows = merge_latest(batch.withColumn("bucket", bucket), actuals_path, (*key, "ds"), ("row_no", "y"), "bucket")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.spread import join_facts
 from seriesloom.operators import prepare as P
 from seriesloom.plans import inputs
+from seriesloom.streaming import streams
 
 
 def days(spark, n: int, value: str, series: str = "'a'"):
@@ -80,3 +81,22 @@ def test_grid_of_days_and_fold_keep_types_and_nulls(spark):
     assert dict(grid.dtypes)["ds"] == "date"
     filled = P.impute_in_order(rows.selectExpr("*", "'ffill' as weekday_treatment", "'zero' as weekend_treatment"))
     assert [r.y for r in filled.orderBy("ds").collect()] == [1.0, 1.0, 1.0, 1.0, 2.0]
+
+
+def test_streamed_scores_work_the_forecasts_out_once(spark, tmp_path):
+    """Three batches read forecasts that were stored when the stream started."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            asked.add(len(pdf))
+            yield pdf
+    days = spark.sql("select concat('s', cast(id % 5 as string)) as series_id, date_add(date'2024-01-01', cast(id as int)) as ds, cast(id as double) as forecast from range(30)")
+    forecasts = days.repartition(1).mapInPandas(seen, days.schema)
+    actuals = spark.sql("select concat('s', cast(id % 5 as string)) as series_id, date_add(date'2024-01-01', cast(id as int)) as ds, id as row_no, cast(id + 1 as double) as y from range(30)")
+    actuals.repartition(3, "row_no").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(actuals.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.realized_stream(source, forecasts, str(tmp_path / "a"), str(tmp_path / "s"), str(tmp_path / "c"), buckets=2).awaitTermination()
+    scores = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r.series_id, r.matched_points, r.mae) for r in scores) == [(f"s{k}", 6, 1.0) for k in range(5)]
+    assert asked.value == 30
