@@ -151,6 +151,8 @@ def candidate_uploads(jobs: DataFrame, job_metrics: DataFrame, uploads: DataFram
     a single upload, so per (owner, column) the newest 21 uploads decide every job.
     They are found by a rank with a fixed bound, which Spark applies before the
     shuffle; a column that many uploads share never meets all jobs that ask for it.
+    They stay one list per (owner, column), so a job's lists meet in one row per
+    metric and are merged there.
     """
     newest = Window.partitionBy("user_id", "column_name").orderBy(F.desc("uploaded_at"), F.desc("upload_id"))
     offered = upload_columns.select("upload_id", "column_name").distinct().join(
@@ -159,9 +161,11 @@ def candidate_uploads(jobs: DataFrame, job_metrics: DataFrame, uploads: DataFram
     asked = job_metrics.select("job_id", F.col("metric").alias("column_name")).distinct().join(
         jobs.select("job_id", "user_id", F.col("created_at").alias("_job_at"), "input_upload_id"), "job_id"
     )
-    hits = asked.join(offered, ["user_id", "column_name"]).where(
-        (F.col("uploaded_at") > F.col("_job_at"))
-        & ~F.coalesce(F.col("upload_id") == F.col("input_upload_id"), F.lit(False))
-    ).select("job_id", "upload_id", "uploaded_at").distinct()
-    w = Window.partitionBy("job_id").orderBy(F.desc("uploaded_at"), F.desc("upload_id"))
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MAX_CANDIDATES)
+    lists = offered.groupBy("user_id", "column_name").agg(F.collect_list(F.struct("uploaded_at", "upload_id")).alias("_ups"))
+    fits = F.filter("_ups", lambda u: (u["uploaded_at"] > F.col("_job_at")) & ~F.coalesce(u["upload_id"] == F.col("input_upload_id"), F.lit(False)))
+    hits = asked.join(lists, ["user_id", "column_name"]).select("job_id", fits.alias("_ups")).where(F.size("_ups") > 0)
+    newest_first = hits.groupBy("job_id").agg(F.sort_array(F.flatten(F.collect_list("_ups")), False).alias("_all"))
+    # equal ones are neighbours now
+    once = F.filter("_all", lambda u, i: (i == 0) | (u != F.get("_all", i - 1)))
+    return newest_first.select("job_id", F.posexplode(F.slice(once, 1, MAX_CANDIDATES)).alias("_at", "_u")).select(
+        "job_id", "_u.upload_id", "_u.uploaded_at", (F.col("_at") + 1).alias("place"))

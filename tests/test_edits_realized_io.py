@@ -111,6 +111,20 @@ def test_candidate_uploads_keep_the_newest_twenty(spark):
     assert got == {1: list(range(99, 79, -1)), 2: [98, 96]}
 
 
+def test_candidate_uploads_of_many_metrics_meet_as_lists(spark):
+    ups = [(i, 7, i // 2) for i in range(60)]
+    metrics = spark.createDataFrame([(1, c) for c in "abc"] + [(2, "b")], "job_id int, metric string")
+    jobs = spark.createDataFrame([(1, 7, 3, 59), (2, 7, 28, None)], "job_id int, user_id int, created_at int, input_upload_id int")
+    uploads = spark.createDataFrame([*ups, (59, 7, 29), (70, 7, None)], "upload_id int, user_id int, created_at int")
+    columns = spark.createDataFrame([(i, c) for i in (*range(60), 70) for c in "abc" if (i + ord(c)) % 3], "upload_id int, column_name string")
+    found = R.candidate_uploads(jobs, metrics, uploads, columns)
+    got = {j: [r["upload_id"] for r in found.where(f"job_id = {j}").orderBy("place").collect()] for j in (1, 2)}
+    assert got == {1: list(range(58, 38, -1)), 2: [i for i in (59, 58) if (i + ord("b")) % 3]}
+    # only uploads are ranked row by row; a job's candidates are not
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Window [") for line in plan.splitlines()) == 1
+
+
 def test_history(spark):
     at = dt.datetime(2026, 1, 1)
     jobs = spark.createDataFrame([(i, 1, s, f"run {i}", None if i == 3 else "f.csv", at + dt.timedelta(minutes=i), at, at + dt.timedelta(seconds=sec)) for i, s, sec in (
