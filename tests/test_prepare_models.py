@@ -67,6 +67,21 @@ def test_impute_equals_brute_force(spark, weekday, weekend):
         assert got[got.series_id == name].y.tolist() == pytest.approx(brute_fill(values, DAY, weekday, weekend)), name
 
 
+def test_clean_fills_and_caps_without_a_window_over_days(spark):
+    rng = random.Random(3)
+    values = {k: [(i, rng.choice([None, 1.0, 2.0, 3.0, 400.0, -2.0])) for i in range(500) if rng.random() < keep] for k, keep in (("thin", 0.1), ("thick", 0.7))}
+    values["empty"], values["one"] = [(0, None), (9, None)], [(5, 7.0)]
+    rules = [F.lit("yearly_seasonal_median").alias("weekday_treatment"), F.lit("zero").alias("weekend_treatment"),
+             F.when(F.col("series_id") != "thick", "clip").otherwise("none").alias("outlier_treatment")]
+    nowhere = spark.createDataFrame([("thin", None, 2.0), (None, DAY, 1.0), (None, DAY + dt.timedelta(4), 3.0)], "series_id string, ds date, y double")
+    ready = frame(spark, values).unionByName(nowhere).select("*", *rules)
+    cleaned, steps = P.clean(ready), P.clip_negative(P.clip_outliers(P.impute(ready)))
+    assert cleaned.columns == steps.columns
+    assert sorted(map(repr, cleaned.collect())) == sorted(map(repr, steps.collect()))
+    # no sorted buffer of stretched days, each with its last 90, and no sort of them
+    assert "Window" not in cleaned._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_in_order_form_agrees_when_gaps_are_far_apart(spark):
     rows = [(i, float(i % 11)) for i in range(500) if i not in (200, 450)]
     ready = frame(spark, {"s": rows}).select("*", F.lit("recent_seasonal_median").alias("weekday_treatment"), F.lit("median").alias("weekend_treatment"))
