@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from seriesloom.functions.spread import join_facts
-from seriesloom.operators import prepare as P
-from seriesloom.plans import inputs
+from seriesloom.operators import models as G, prepare as P
+from seriesloom.plans import inputs, model_queries
 from seriesloom.streaming import streams
 
 
@@ -100,3 +101,42 @@ def test_streamed_scores_work_the_forecasts_out_once(spark, tmp_path):
     scores = spark.read.parquet(str(tmp_path / "s")).collect()
     assert sorted((r.series_id, r.matched_points, r.mae) for r in scores) == [(f"s{k}", 6, 1.0) for k in range(5)]
     assert asked.value == 30
+
+
+def test_fitting_rows_lie_in_tasks_whose_number_follows_the_input(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id as l_orderkey", "id % 90 as l_suppkey", "timestamp'2024-01-01' + make_dt_interval(cast(id % 71 as int)) as l_shipdate",
+                                 "cast(id % 50 as double) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(inputs, "READINGS_A_TASK", 100)
+    for made in (model_queries.setup, model_queries.pooled_setup):
+        rows = made(spark, str(tmp_path))[1]
+        assert rows.rdd.getNumPartitions() == 40
+        placed = rows.withColumn("task", F.spark_partition_id()).groupBy("series_id").agg(F.countDistinct("task").alias("tasks")).collect()
+        assert len(placed) == 90 and {r.tasks for r in placed} == {1}
+
+
+def test_croston_sums_a_fit_from_one_row_of_its_values(spark, capsys):
+    """Against a plain loop, and without the sorts of windows over all days."""
+    rng = np.random.default_rng(7)
+    series = {f"s{k}": np.where(rng.random(n) < 0.3, rng.integers(1, 9, n), 0).astype(float).tolist() for k, n in enumerate((1, 2, 5, 60, 400))}
+    series |= {"none": [0.0] * 5, "null": [None, 3.0, None, None, 4.0, 0.0, 2.0], "nan": [1.0, float("nan"), 2.0]}
+    rows = spark.createDataFrame([(s, k, dt.date(2024, 1, 1) + dt.timedelta(days=i), y) for s, ys in series.items() for k in ("test", "future")
+                                  for i, y in reversed(list(enumerate(ys)))], "series_id string, kind string, ds date, y double")
+    for alpha in (0.1, 0.4):
+        fitted = G.fit_croston(rows, alpha)
+        got = {(r.series_id, r.kind): r.level for r in fitted.collect()}
+        assert len(got) == 2 * len(series)
+        for s, ys in series.items():
+            at = [i for i, y in enumerate(ys) if y is not None and not y <= 0]
+            if not at:
+                assert got[s, "test"] == got[s, "future"] == 0.0
+                continue
+            size, gaps = ys[at[0]], np.diff(at)
+            for i in at[1:]:
+                size = alpha * ys[i] + (1 - alpha) * size
+            interval = gaps.mean() if len(gaps) else 1.0
+            for g in gaps[1:]:
+                interval = alpha * g + (1 - alpha) * interval
+            np.testing.assert_allclose([got[s, "test"], got[s, "future"]], size / max(interval, 1.0), rtol=1e-9)
+    G.fit_croston(rows).explain()
+    assert "Window" not in capsys.readouterr().out
+    assert G.fit_croston(rows.where("false")).count() == 0
