@@ -78,3 +78,20 @@ def test_start_is_the_exact_percentile(spark, frame, q):
     values = frame.select("y").union(spark.createDataFrame([(None,), (7.5,), (7.5,)], "y double"))
     assert T._quantile(values, "y", q) == pytest.approx(values.agg(F.percentile("y", F.lit(q))).first()[0], abs=1e-12)
     assert T._quantile(values.where("false"), "y", q) is None
+
+
+def test_information_is_counted_without_a_row_a_feature(spark):
+    from seriesloom.operators import pooled as PO
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random(4000) < 0.2, np.nan, rng.normal(size=4000))
+    pdf = pd.DataFrame({"x": x, "z": rng.integers(0, 3, 4000).astype(float), "y": np.nan_to_num(x) + rng.normal(size=4000)})
+    frame = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(3)
+    told = PO.binned_information(frame, ["x", "z"])
+    edges = frame.selectExpr(*[f"percentile_approx({c}, array({','.join(str(k / 16) for k in range(1, 16))}), 1000) AS {c}" for c in pdf]).first()
+    of = {c: np.where(pdf[c].isna(), 0, [sum(e < v for e in edges[c]) for v in pdf[c]]) for c in pdf}
+    for r in told.collect():
+        n = np.zeros((16, 16))
+        np.add.at(n, (of[r["feature"]], of["y"]), 1 / 4000)
+        apart = n.sum(axis=1, keepdims=True) * n.sum(axis=0, keepdims=True)
+        assert r["mi"] == pytest.approx((n[n > 0] * np.log(n[n > 0] / apart[n > 0])).sum())
+    assert "Expand" not in told._jdf.queryExecution().toString()
