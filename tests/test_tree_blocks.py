@@ -95,3 +95,17 @@ def test_information_is_counted_without_a_row_a_feature(spark):
         apart = n.sum(axis=1, keepdims=True) * n.sum(axis=0, keepdims=True)
         assert r["mi"] == pytest.approx((n[n > 0] * np.log(n[n > 0] / apart[n > 0])).sum())
     assert "Expand" not in told._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["Ridge", "Huber"])
+def test_lines_are_fitted_without_writing_their_rows(spark, monkeypatch, name):
+    import datetime as dt
+
+    from seriesloom.operators import pooled as PO
+    monkeypatch.setattr(PO, "materialize", lambda df: pytest.fail("rows were written"))
+    days = [("a", dt.date(2022, 1, 3) + dt.timedelta(k), 10.0 + k % 7) for k in range(80)]
+    views = spark.createDataFrame([(*d, "train") for d in days], "series_id string, ds date, y double, part string")
+    wanted = spark.createDataFrame([("a", "future", k, dt.date(2022, 3, 24) + dt.timedelta(k)) for k in range(1, 8)], "series_id string, kind string, step int, ds date")
+    rows = views.select("series_id", views.part.alias("kind"), "ds", "y").replace("train", "future")
+    told, _ = PO.fit_pooled(name, views, rows, wanted)
+    assert [r["step"] for r in told.orderBy("step").collect()] == [*range(1, 8)]
