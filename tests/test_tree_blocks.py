@@ -16,10 +16,9 @@ NAMES = ["x", "z", "w"]
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    """Whole targets, so that sums are exact in every order."""
     rng = np.random.default_rng(8)
     x, z = rng.uniform(0, 10, 5000), rng.integers(0, 4, 5000).astype(float)
-    y = np.floor(20 * x + 30 * z + 10 * rng.exponential(1 + x))
+    y = 20 * x + 30 * z + 10 * rng.exponential(1 + x)
     return spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "w": rng.normal(size=5000), "y": y})).repartition(3)
 
 
@@ -49,7 +48,7 @@ def test_counts_of_nodes_equal_brute_force(spark, frame):
 def test_random_trees_do_not_depend_on_blocks_or_on_how_rows_walk(frame, monkeypatch, bits):
     settings = {"trees": 6, "depth": 9, "leaves": 512, "share": 1.0}
     plain = T.extra_trees(frame, NAMES, **settings)
-    monkeypatch.setattr(T, "SMALL_BLOCK", 0)  # sums by codes of cuts
+    monkeypatch.setattr(T, "BLOCK_ROWS", 1)  # every stored block is walked by itself
     monkeypatch.setattr(T, "BIT_LEVELS", bits)
     other = T.extra_trees(frame, NAMES, **settings)
     for name in ("feature", "cut", "left", "value"):
@@ -59,7 +58,7 @@ def test_random_trees_do_not_depend_on_blocks_or_on_how_rows_walk(frame, monkeyp
 def test_places_are_the_leaves(frame):
     model = T.extra_trees(frame, NAMES, trees=3, depth=6, leaves=256, share=1.0)
     bins = model.binned(frame.select(*NAMES).toPandas().to_numpy())
-    block = T.Block(len(bins), bins.tobytes())
+    block = T.Block(len(bins), bins)
     for root, leaf in zip(model.roots, model.leaves(bins)):
         at, nodes = block.places(model.feature.tolist(), model.cut.tolist(), model.left.tolist(), int(root), model.depth)
         assert np.array(nodes)[at].tolist() == leaf.tolist()
